@@ -148,3 +148,16 @@ def neighbour_lists(edges: DataFrame, links: DataFrame, chunk_rows: int = 50_000
     pairs = ordered_neighbours(incidences(edges, links).filter(F.col("neighbour") != F.col("vertex")))
     states = chunk_states(number_rows(pairs, keys, chunk_rows), keys, neighbours=F.array_sort(F.collect_list("neighbour")))
     return states.select(*keys, "chunk", "first_row", "neighbours")
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], count: str, many: int = 100_000) -> DataFrame:
+    """``rows`` inner-joined with ``totals`` (one row for each key, ``count`` of its rows) without hot tasks.
+
+    Keys with more than ``many`` rows, of which there are at most rows/many, are joined where their rows lie, if their
+    number allows a broadcast; all others by a shuffle.
+    """
+    hot = materialize(totals.filter(F.col(count) > many), "hot_totals")
+    if not 0 < hot.count() <= MAX_BROADCAST_OFFSETS:
+        return rows.join(totals, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals.filter(F.col(count) <= many), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)

@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import cooccurrence, set_join, top_items
+from orewright.llm import cooccurrence, format_duplicates, near_duplicates, reservoir, set_join, top_items
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "edge_lines")
+    _, repeats = format_duplicates.collapse(format_duplicates.edge_records(lines), ["low", "high", "kind"], lines.count())
+    return repeats.select(F.col("first_id").alias("first_line_id"), F.col("id").alias("line_id"))
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "edge_lines")
+    records, _ = format_duplicates.collapse(format_duplicates.edge_records(lines), ["low", "high", "kind"], lines.count())
+    return records.select("low", "high", "kind", F.col("first_id").alias("first_line_id"), "copies")
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reservoir.sample(_table(spark, sf_dir, "edges"), 5_000, seed=3)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items.top_items(_table(spark, sf_dir, "baskets"), "basket_id", "items", 40).select("item")
 
@@ -22,6 +38,16 @@ def p4_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items.top_items(_table(spark, sf_dir, "baskets"), "basket_id", "items", 40)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.similar_text_pairs(_table(spark, sf_dir, "doc_files"), "file_id", "content")
+    return pairs.select(F.col("id_a").alias("file_a"), F.col("id_b").alias("file_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates.similar_text_groups(_table(spark, sf_dir, "doc_files"), "file_id", "content")
+    return groups.select(F.col("id").alias("file_id"), "group_id", "links")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_associations(spark, sf_dir).select("item_a", "item_b")
 
@@ -41,9 +67,13 @@ def p7_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_top_items, p6_found, p6_associations, p7_found, p7_set_classes)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p7_found, p7_set_classes)}
 
 
+_RECORDS = r"""select least(v[1], v[2]) as low, greatest(v[1], v[2]) as high, kind, line_id from (
+  select line_id, list_transform(regexp_extract_all(line, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\1')) as v,
+    lower(regexp_replace(line, '\PL+', '', 'g')) as kind
+  from edge_lines where regexp_matches(line, '[A-Za-z]') and not regexp_matches(line, '^[\s\pZ]*%')) where len(v) = 2"""
 _HELD = "select distinct basket_id, item from (select basket_id, unnest(items) as item from baskets) where item is not null and basket_id is not null"
 _TOP = f"with h as ({_HELD}) select item, count(*) as baskets from h group by item order by baskets desc, item limit 40"
 _PAIRS = f"""with h as ({_HELD}), n as (select count(distinct basket_id) as n_all from h),
@@ -67,6 +97,8 @@ def _elements(name: str, id_col: str, set_col: str, table: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with r as ({_RECORDS}), f as (select *, min(line_id) over (partition by low, high, kind) as first_line_id from r) select first_line_id, line_id from f where line_id <> first_line_id",
+        "p1_records": f"select low, high, kind, min(line_id) as first_line_id, count(*) as copies from ({_RECORDS}) group by low, high, kind",
         "p4_found": f"select item from ({_TOP})",
         "p4_top_items": _TOP,
         "p6_found": f"select item_a, item_b from ({_PAIRS})",

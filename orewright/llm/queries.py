@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import cooccurrence, format_duplicates, near_duplicates, reservoir, set_join, top_items
+from orewright.llm import cooccurrence, format_duplicates, leaks, near_duplicates, reservoir, set_join, tokenizer, top_items
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,16 @@ def p7_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_set_classes(_table(spark, sf_dir, "shingle_sets"), "set_id", "shingles")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p7_found, p7_set_classes)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p7_found, p7_set_classes, p8_ids, p9_found)}
 
 
 _RECORDS = r"""select least(v[1], v[2]) as low, greatest(v[1], v[2]) as high, kind, line_id from (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import cooccurrence, format_duplicates, leaks, near_duplicates, reservoir, set_join, tokenizer, top_items
+from orewright.llm import cooccurrence, format_duplicates, language, leaks, near_duplicates, reservoir, set_join, tokenizer, top_items
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).withColumnRenamed("id", "doc_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(_table(spark, sf_dir, "lang_samples"))
+    return language.label_cases(_table(spark, sf_dir, "documents"), model).withColumnRenamed("id", "doc_id")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(_table(spark, sf_dir, "lang_samples"))
+    segments = language.segment_languages(_table(spark, sf_dir, "documents"), model)
+    return segments.select(F.col("id").alias("doc_id"), "segment", "start", "end", "lang", "confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p7_found, p7_set_classes, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p7_found, p7_set_classes, p8_ids, p9_found, p10_found, p10_segments)}
 
 
 _RECORDS = r"""select least(v[1], v[2]) as low, greatest(v[1], v[2]) as high, kind, line_id from (

@@ -161,3 +161,26 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], count: str,
         return rows.join(totals, keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals.filter(F.col(count) <= many), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def index_rows(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Adds the 1-based place of each row in the order of the given columns, without bringing the rows to one task.
+
+    Rows are range-partitioned and sorted, tagged with their place inside the partition and written once; one count
+    for each partition is prefix-summed and joined back. The order must be unique for a defined result.
+    """
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_local"])
+            seen += n
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+    tagged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tag, schema), "indexed")
+    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_local") + F.col("_offset") + 1).select(*df.columns, name)

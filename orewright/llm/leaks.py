@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,25 +158,24 @@ def remove_leaks(documents: DataFrame, items: DataFrame, mode: str = "span", id_
     Overlapping spans are cut as one. Documents with a null id or text are kept. All columns are kept as they are.
     """
     hits = leaks(documents, items, id_col, text_col, **columns)
+    named = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if mode == "document":
-        return documents.join(hits.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").select(documents.columns)
+        return named.join(hits.select("id").distinct(), "id", "left_anti").select("row.*")
     if mode != "span":
         raise ValueError("mode is 'span' or 'document'")
-    spans = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("id", "_leaked")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, where = batch.schema.get_field_index(text_col), batch.schema.get_field_index("_spans")
-            texts = []
-            for text, own in zip(batch.column(at).to_pylist(), batch.column(where).to_pylist()):
-                if text is not None and own:
-                    kept, done = [], 0
-                    for span in own:
-                        kept.append(text[done : max(done, span["start"])])
-                        done = max(done, span["end"])
-                    text = "".join([*kept, text[done:]])
-                texts.append(text)
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).select(documents.columns)
-
-    joined = documents.join(spans, documents[id_col] == spans["_leaked"], "left").drop("_leaked")
-    return joined.mapInArrow(cut, documents.schema)
+    spans = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, found):
+            kept, done = [], 0
+            for span in own:
+                kept.append(text[done : max(done, span["start"])])
+                done = max(done, span["end"])
+            out.append("".join([*kept, text[done:]]))
+        return pd.Series(out, dtype=object)
+
+    clean = named.join(spans.select("id"), "id", "left_anti").select("row")
+    dirty = named.join(spans, "id").select(F.col("row").withField(f"`{text_col}`", cut("text", "spans")).alias("row"))
+    return clean.unionByName(dirty).select("row.*")

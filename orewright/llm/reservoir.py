@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from orewright.session import materialize
 
-#: Columns that a state has besides those of its rows: which reservoir, how many rows it stands for, and the place in
-#: its random order. A reservoir of an empty partition has no row.
-STATE = ["_reservoir", "_population", "_place"]
+#: Columns of a state: the sampled row as a struct, which reservoir it lies in, how many rows that stands for, and the
+#: row's place in its random order. A reservoir of an empty partition has no row.
+STATE = ["row", "reservoir", "population", "place"]
 
 
 class Skips:
@@ -66,7 +66,7 @@ def _fill(m: int, seed: int):
         size = min(m, seen)
         if size:
             rows = pa.concat_tables(taken).take(pa.array(where[:size][rng.permutation(size)]))
-            for name, value in zip(STATE, (np.full(size, part, np.int64), np.full(size, seen, np.int64), np.arange(size))):
+            for name, value in zip(STATE[1:], (np.full(size, part, np.int64), np.full(size, seen, np.int64), np.arange(size))):
                 rows = rows.append_column(name, pa.array(value))
             yield from rows.to_batches(max_chunksize=10_000)
 
@@ -80,15 +80,15 @@ def reservoirs(df: DataFrame, m: int, seed: int) -> DataFrame:
     """
     if m < 1:
         raise ValueError("m must be at least 1")
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.LongType()) for name in STATE]])
-    return materialize(df.mapInArrow(_fill(m, seed), schema), "reservoirs")
+    schema = T.StructType([T.StructField("row", df.schema), *[T.StructField(name, T.LongType()) for name in STATE[1:]]])
+    return materialize(df.select(F.struct("*").alias("row")).mapInArrow(_fill(m, seed), schema), "reservoirs")
 
 
 def union_states(states: list[DataFrame]) -> DataFrame:
     """One state from the states of different pieces; the reservoirs keep apart by a running piece number."""
     out = None
     for k, state in enumerate(states):
-        own = state.withColumn("_reservoir", F.col("_reservoir") + F.lit(k << 32))
+        own = state.withColumn("reservoir", F.col("reservoir") + F.lit(k << 32))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -100,20 +100,19 @@ def draw(states: DataFrame, m: int, seed: int) -> DataFrame:
     since a reservoir lies in random order, its first rows are a uniform choice. Only the numbers, one for each
     reservoir, come to the driver.
     """
-    sizes = sorted((r[0], r[1]) for r in states.filter("_place = 0").select("_reservoir", "_population").collect())
+    sizes = sorted((r[0], r[1]) for r in states.filter("place = 0").select("reservoir", "population").collect())
     total = sum(n for _, n in sizes)
     picked = sorted(random.Random(seed).sample(range(total), min(m, total)))
     bounds = np.cumsum([n for _, n in sizes], dtype=object) if sizes else []
     given = np.bincount(np.searchsorted(np.array(bounds, np.int64), picked, side="right"), minlength=len(sizes)) if picked else []
-    quota = states.sparkSession.createDataFrame([(r, int(n)) for (r, _), n in zip(sizes, given)], "_reservoir long, _quota long")
-    rows = states.join(F.broadcast(quota), "_reservoir").filter(F.col("_place") < F.col("_quota"))
-    return rows.drop(*STATE, "_quota")
+    quota = states.sparkSession.createDataFrame([(r, int(n)) for (r, _), n in zip(sizes, given)], "reservoir long, quota long")
+    return states.join(F.broadcast(quota), "reservoir").filter(F.col("place") < F.col("quota")).select("row.*")
 
 
 def sample(df: DataFrame, m: int, seed: int) -> DataFrame:
     """``m`` rows of ``df`` (all, if there are fewer), every row equally likely, in one pass over the data.
 
-    Repeated rows and rows with nulls are rows like any other; all columns are kept, whatever their names, but for the
-    names in ``STATE``, which must not occur. The result is the same for the same seed and the same partitions.
+    Repeated rows and rows with nulls are rows like any other; all columns are kept, whatever their names. An empty
+    input gives an empty sample. The result is the same for the same seed and the same partitions.
     """
     return draw(reservoirs(df, m, seed), m, seed)

@@ -68,7 +68,8 @@ def prefix_keys(groups: np.ndarray, items: np.ndarray, counts: np.ndarray, t: Fr
     Tokens are ordered by (hashed count, token). Two sets with similarity of at least t share, for every l up to their
     overlap, l tokens within the first n - ceil(t n) + l tokens of both. Let c1, c2, c3 be the first tokens they share:
     the key is c1 if it is rare, else (c1, c2) if c2 is rare enough, else (c1, c2, c3). The choice depends on the shared
-    tokens only, so both sets make it alike. A token with a counter of 1 is in no other set and gives no key.
+    tokens only, so both sets make it alike. Sets so small that they may share only one or two tokens with a similar set
+    give the shorter keys as well. A token with a counter of 1 is in no other set and gives no key.
     """
     order = np.lexsort((items, counts, groups))
     groups, items, counts = groups[order], items[order], counts[order]
@@ -80,13 +81,15 @@ def prefix_keys(groups: np.ndarray, items: np.ndarray, counts: np.ndarray, t: Fr
     possible = (n * (t.denominator - t.numerator) >= t.numerator) & (counts > 1)
     one = np.flatnonzero(possible & (place <= n - need))
     rare = counts[one] <= limits[0]
-    out = [(groups[one[rare]], mix(items[one[rare]], 3))]
+    alone = one[rare | (need[one] < 2)]
+    out = [(groups[alone], mix(items[alone], 3))]
     first = one[~rare]
     later = np.minimum(n - need + 2, n)[first] - place[first] - 1
     i, j = np.repeat(first, later), np.repeat(first + 1, later) + ranges(later)
     two = mix((mix(items[i], 4) + mix(items[j], 5)).astype(np.int64), 6)
     rare = counts[j] <= limits[1]
-    out.append((groups[i[rare]], two[rare]))
+    enough = rare | (need[i] < 3)
+    out.append((groups[i[enough]], two[enough]))
     j, two = j[~rare], two[~rare]
     later = np.minimum(n - need + 3, n)[j] - place[j] - 1
     k = np.repeat(j + 1, later) + ranges(later)

@@ -46,7 +46,7 @@ def triangles(edges: DataFrame, carry: list[str] | None = None) -> DataFrame:
     first, second, third = (placed.select(F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), *[F.col(c).alias(f"{c}{i}") for c in carry]) for i in (1, 2, 3))
     wedges = first.join(second, F.col("x1") == F.col("x2")).filter(F.col("y1") != F.col("y2"))
     closed = wedges.join(third, (F.col("y1") == F.col("x3")) & (F.col("y2") == F.col("y3")))
-    corners = F.array_sort(F.array("x1", "y1", "y2"))
+    corners = F.sort_array(F.array("x1", "y1", "y2"))
     out = closed.select(corners.alias("k"), *[F.array(*[F.col(f"{c}{i}") for i in (1, 2, 3)]).alias(c) for c in carry])
     return out.select(F.get("k", F.lit(0)).alias("a"), F.get("k", F.lit(1)).alias("b"), F.get("k", F.lit(2)).alias("c"), *carry)
 

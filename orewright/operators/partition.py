@@ -115,13 +115,13 @@ def cool_exponential(rounds: int, delta: float = 0.99, reset: bool = False) -> l
 def local_candidates(arcs: DataFrame, n: int, seed: int, turn: int) -> DataFrame:
     """(p, q): ``n`` neighbours of each vertex (all, if it has no more), by the least seeded hash."""
     draw = F.md5(F.concat_ws(":", F.lit(f"{seed}:{turn}:local"), F.col("src").cast("string"), F.col("dst").cast("string")))
-    least = F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("h"), F.col("dst").alias("q")))), 1, n)
+    least = F.slice(F.sort_array(F.collect_list(F.struct(draw.alias("h"), F.col("dst").alias("q")))), 1, n)
     if n < 1:
         return arcs.select(F.col("src").alias("p"), F.col("dst").alias("q")).limit(0)
     # a vertex's neighbours are cut down within 64 slots first, so that no task gathers all neighbours of a hub
     slot = F.pmod(F.xxhash64("dst"), F.lit(64)).alias("slot")
     first = arcs.groupBy(F.col("src").alias("p"), slot).agg(least.alias("some")).select("p", F.explode("some").alias("s"))
-    return first.groupBy("p").agg(F.slice(F.array_sort(F.collect_list("s")), 1, n).alias("some")).select("p", F.explode("some.q").alias("q"))
+    return first.groupBy("p").agg(F.slice(F.sort_array(F.collect_list("s")), 1, n).alias("some")).select("p", F.explode("some.q").alias("q"))
 
 
 def global_candidates(vertices: DataFrame, total: int, n: int, seed: int, turn: int) -> DataFrame:

@@ -56,7 +56,7 @@ def _fp_growth(long: DataFrame, least: float, max_size: int | None) -> DataFrame
     baskets = long.groupBy("basket_id").agg(F.collect_list("item").alias("items"))
     total = baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, min(1.0, (least - 0.5) / max(1, total)))).fit(baskets)
-    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")).filter(F.col("freq") >= least)
+    sets = model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("freq")).filter(F.col("freq") >= least)
     sized = sets.select("items", "freq", F.size("items").alias("size"))
     return sized if max_size is None else sized.filter(F.col("size") <= max_size)
 

@@ -146,7 +146,7 @@ def neighbour_lists(edges: DataFrame, links: DataFrame, chunk_rows: int = 50_000
     """
     keys = ["origin", "vertex"]
     pairs = ordered_neighbours(incidences(edges, links).filter(F.col("neighbour") != F.col("vertex")))
-    states = chunk_states(number_rows(pairs, keys, chunk_rows), keys, neighbours=F.array_sort(F.collect_list("neighbour")))
+    states = chunk_states(number_rows(pairs, keys, chunk_rows), keys, neighbours=F.sort_array(F.collect_list("neighbour")))
     return states.select(*keys, "chunk", "first_row", "neighbours")
 
 

@@ -39,11 +39,11 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.jaccard_pairs(_sets(spark, sf_dir))
+    return similarity.jaccard_pairs(_sets(spark, sf_dir, "wide"))
 
 
 def jaccard_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.jaccard_pairs(_sets(spark, sf_dir), THRESHOLD)
+    return similarity.jaccard_pairs(_sets(spark, sf_dir, "wide"), THRESHOLD)
 
 
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

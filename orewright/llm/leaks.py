@@ -163,7 +163,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, mode: str = "span", id_
         return named.join(hits.select("id").distinct(), "id", "left_anti").select("row.*")
     if mode != "span":
         raise ValueError("mode is 'span' or 'document'")
-    spans = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = hits.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:

@@ -1,6 +1,6 @@
 """Languages of documents and of their segments: a mixture of n-gram models fitted to each document.
 
-A document is cut into sentences. Each language gives every sentence a likelihood from the character n-grams of its
+A document is cut into sentences, and a sentence where its words change from one language to another. Each language gives every sentence a likelihood from the character n-grams of its
 words; expectation-maximisation estimates the document's language proportions, and languages are dropped one at a
 time for as long as the penalised likelihood gains by it.
 """
@@ -23,6 +23,8 @@ from orewright.llm.near_duplicates import spread, text_slices
 LENGTHS, BUCKETS, SMOOTHING = (1, 2, 3, 4, 5), 1 << 16, 0.3
 #: Most that one word can speak for one language against another, in nats; and what a language costs a document.
 WORD_LIMIT, PENALTY = 12.0, 14.0
+#: What another language within a sentence must gain, in nats, for the sentence to be cut.
+SPLIT = 40.0
 #: Words that a sentence needs, and consecutive ones that count as prose.
 LEAST_WORDS, LEAST_RUN = 5, 5
 #: Labelled samples that a model is trained on at most (the smallest ids).
@@ -89,14 +91,14 @@ def train(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     languages = sorted({row[1] for row in rows})
     counts = np.full((BUCKETS, max(1, len(languages))), SMOOTHING)
     for _, lang, text in rows:
-        for _, _, words in sentences(text):
+        for _, _, words, _ in sentences(text):
             for word in words:
                 np.add.at(counts, (_grams(word), languages.index(lang)), 1.0)
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words of prose) of each sentence.
+def sentences(text: str) -> Iterator[tuple[int, int, list[str], list[int]]]:
+    """(start, end, words of prose, their places) of each sentence.
 
     A sentence ends with its punctuation before white space; a line end alone doesn't end it. Words are tokens of letters
     only, with punctuation around them; a token with anything else inside breaks a run of prose, a number doesn't, and
@@ -109,12 +111,12 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             token = match.group().strip(OUTER)
             plain = token.replace("'", "").replace("’", "").replace("-", "")
             if plain.isalpha():
-                run += token.lower().replace("’", "'").split("-")
+                run += [(word, match.start()) for word in token.lower().replace("’", "'").split("-")]
             elif plain and not plain.replace(",", "").replace(".", "").isdigit():
                 words, run = words + (run if len(run) >= LEAST_RUN else []), []
         words += run if len(run) >= LEAST_RUN else []
         if len(words) >= LEAST_WORDS:
-            yield start, stop, words
+            yield start, stop, [w for w, _ in words], [at for _, at in words]
         start = stop
 
 
@@ -160,14 +162,36 @@ def mixture(evidence: np.ndarray, docs: np.ndarray, n: int, steps: int = 8) -> t
     return share, weighted / weighted.sum(axis=1, keepdims=True)
 
 
+def parts(evidence: np.ndarray, opens: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of the words of a sentence, cut where the words on both sides speak for different languages.
+
+    A cut needs enough words on either side and more likelihood than one language for the whole: SPLIT nats before a word
+    that ``opens`` (has a capital or stands first in a line), half as many more before any other.
+    """
+    n = len(evidence)
+    if n >= 2 * LEAST_WORDS:
+        before = np.cumsum(evidence, axis=0)
+        cuts = before[LEAST_WORDS - 1 : n - LEAST_WORDS]
+        gain = cuts.max(axis=1) + (before[-1] - cuts).max(axis=1) - np.where(opens[LEAST_WORDS : n - LEAST_WORDS + 1], SPLIT, 1.5 * SPLIT)
+        best = int(gain.argmax())
+        if gain[best] > before[-1].max():
+            at = best + LEAST_WORDS
+            return parts(evidence[:at], opens[:at]) + [(a + at, b + at) for a, b in parts(evidence[at:], opens[at:])]
+    return [(0, n)]
+
+
 def analyse(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
     """(document of each sentence, its place, its posterior, its document's proportions)."""
     docs, spans, evidence = [], [], []
     for i, text in enumerate(texts):
-        for start, end, words in sentences(_normal(text)) if text else ():
-            docs.append(i)
-            spans.append((start, end))
-            evidence.append(np.sum([model.word(w) for w in words], axis=0))
+        whole = _normal(text) if text else ""
+        for start, end, words, places in sentences(whole):
+            own = np.stack([model.word(w) for w in words])
+            opens = np.array([whole[p].isupper() or "\n" in whole[max(p - 2, 0) : p] for p in places])
+            for a, b in parts(own, opens):
+                docs.append(i)
+                spans.append((places[a] if a else start, places[b] if b < len(words) else end))
+                evidence.append(own[a:b].sum(axis=0))
     if not docs:
         return np.zeros(0, np.int64), [], np.zeros((0, len(model.languages))), np.zeros((len(texts), len(model.languages)))
     docs = np.array(docs)

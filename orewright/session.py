@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Intermediate tables written by this process.
+_written: list[str] = []
+
+
 def get_session(master: str = "local[*]", app: str = "orewright", **conf: str) -> SparkSession:
     """A session with this engine's defaults; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -48,6 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,3 +60,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def default_parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes the intermediate tables that this process wrote; results that still read them become unusable."""
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.clear()

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from orewright.functions.ragged import pack, unique_per_group, unpack
 from orewright.session import default_parallelism, materialize
 
+#: Rows that a node unites in its memory at most, on average.
+NODE_ROWS = 250_000
 #: Counters that are sent together.
 _BLOCK = 1 << 16
 SETS = "id long, items array<int>"
@@ -70,6 +72,11 @@ def read_sets(df: DataFrame, id_col: str, set_col: str, keep: np.ndarray | None
     return plain.filter("id is not null and size(items) > 0").mapInArrow(_within_batch(keep), SETS)
 
 
+def node_count(df: DataFrame) -> int:
+    """Partitions for ``by_id``: the session's number, and more where that would leave a node with too many rows."""
+    return max(default_parallelism(df.sparkSession), -(-df.count() // NODE_ROWS))
+
+
 def by_id(sets: DataFrame, nodes: int) -> DataFrame:
     """All parts of one id in one partition. A repeated id has come down to one part for each batch before this."""
     return sets.repartition(nodes, "id")
@@ -131,5 +138,4 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def one_set_each(df: DataFrame, id_col: str, set_col: str, keep: np.ndarray | None = None) -> DataFrame:
     """(id, items): one sorted set for each id that holds an item, written to the shared folder."""
-    nodes = default_parallelism(df.sparkSession)
-    return materialize(by_id(read_sets(df, id_col, set_col, keep), nodes).mapInArrow(_merge, SETS), "sets")
+    return materialize(by_id(read_sets(df, id_col, set_col, keep), node_count(df)).mapInArrow(_merge, SETS), "sets")

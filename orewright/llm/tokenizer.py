@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.functions.ragged import pack
-from orewright.llm.characters import LETTER, NUMBER, OTHER, SPACE, classes
+from orewright.llm.characters import SPACE, classes
 from orewright.llm.near_duplicates import code_points, spread, text_slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"

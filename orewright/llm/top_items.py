@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewright.llm.sets import add_counts, by_id, merge_sets, read_sets
-from orewright.session import default_parallelism, materialize
+from orewright.llm.sets import add_counts, by_id, merge_sets, node_count, read_sets
+from orewright.session import materialize
 
 LOCAL = "node int, item int, n long, place long"
 
@@ -51,7 +51,7 @@ def top_items(df: DataFrame, id_col: str, set_col: str, k: int, nodes: int | Non
     counts the smaller item goes first. Null ids, null elements, null and empty sets count for nothing; an
     element repeated within an id counts once; fewer than ``k`` items give all of them.
     """
-    nodes = nodes or default_parallelism(df.sparkSession)
+    nodes = nodes or node_count(df)
     local = local_counts(df, id_col, set_col, nodes)
     leaders = local.filter(F.col("place") < k).groupBy("item").agg(F.sum("n").alias("low"))
     share = -(-_kth(leaders, "low", k) // nodes)

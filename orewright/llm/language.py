@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +28,13 @@ SPLIT = 40.0
 LEAST_WORDS, LEAST_RUN = 5, 5
 #: Labelled samples that a model is trained on at most (the smallest ids).
 MAX_SAMPLES = 10_000
-#: Words whose scores a worker keeps before it starts anew.
+#: Tokens whose words a worker keeps before it starts anew.
 CACHE = 300_000
 
 SENTENCE_END = re.compile(r"[.!?…。]+[\"'”’»)\]]*(?=\s|$)")
 TOKEN = re.compile(r"\S+")
+# Format characters, which are not seen (soft hyphen, zero-width and direction marks, byte order mark).
+FORMAT = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]")
 OUTER = "\"'“”‘’«»„(),.;:!?…¿¡>-–—"
 SEGMENTS = "id long, label string, segment int, start int, end int, lang string, confidence double"
 LANGUAGES = "id long, label string, lang string, confidence double, sentences int"
@@ -65,24 +66,46 @@ def _grams(word: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-@dataclass
 class Model:
-    """Log-probabilities of hashed n-grams by language."""
+    """Log-probabilities of hashed n-grams by language, and the words met so far with their evidence.
 
-    languages: list[str]
-    table: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    A token is a tuple of word numbers (empty for a number, which says nothing) or None, if it isn't prose.
+    """
 
-    def word(self, word: str) -> np.ndarray:
-        """Evidence of a word for each language: 0 for the likeliest, never below -WORD_LIMIT."""
-        score = self.cache.get(word)
-        if score is None:
+    def __init__(self, languages: list[str], table: np.ndarray) -> None:
+        self.languages, self.table = languages, table
+        self.forget()
+
+    def __reduce__(self):
+        return Model, (self.languages, self.table)
+
+    def forget(self) -> None:
+        self.tokens: dict[str, tuple[int, ...] | None] = {}
+        self.numbers: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def token(self, token: str) -> tuple[int, ...] | None:
+        """The words of a token that is new: letters only, with punctuation around them and hyphens or apostrophes inside."""
+        bare = token.strip(OUTER).replace("’", "'")
+        plain = bare.replace("'", "").replace("-", "")
+        if plain.isalpha():
+            words = tuple(self._number(word) for word in bare.lower().split("-"))
+        else:
+            words = None if plain and not plain.replace(",", "").replace(".", "").isdigit() else ()
+        self.tokens[token] = words
+        return words
+
+    def _number(self, word: str) -> int:
+        number = self.numbers.get(word)
+        if number is None:
+            number = self.numbers[word] = len(self.rows)
             score = self.table[_grams(word[:64])].sum(axis=0)
-            score = np.maximum(score - score.max(), -WORD_LIMIT)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = score
-        return score
+            self.rows.append(np.maximum(score - score.max(), -WORD_LIMIT))
+        return number
+
+    def evidence(self, numbers: list[int]) -> np.ndarray:
+        """For each word its evidence for each language: 0 for the likeliest, never below -WORD_LIMIT."""
+        return np.array(self.rows, np.float32)[numbers]
 
 
 def train(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "sample_id", most: int = MAX_SAMPLES) -> Model:
@@ -90,38 +113,55 @@ def train(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     rows = samples.select(id_col, lang_col, text_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(id_col).limit(most).collect()
     languages = sorted({row[1] for row in rows})
     counts = np.full((BUCKETS, max(1, len(languages))), SMOOTHING)
+    reader = Model(languages, np.zeros((BUCKETS, max(1, len(languages))), np.float32))
     for _, lang, text in rows:
-        for _, _, words, _ in sentences(text):
-            for word in words:
-                np.add.at(counts, (_grams(word), languages.index(lang)), 1.0)
+        sentences(reader, text)
+        words = list(reader.numbers)
+        for _, _, numbers, _ in sentences(reader, text):
+            for number in numbers:
+                np.add.at(counts, (_grams(words[number]), languages.index(lang)), 1.0)
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, list[str], list[int]]]:
+def sentences(model: Model, text: str) -> list[tuple[int, int, list[int], list[int]]]:
     """(start, end, words of prose, their places) of each sentence.
 
-    A sentence ends with its punctuation before white space; a line end alone doesn't end it. Words are tokens of letters
-    only, with punctuation around them; a token with anything else inside breaks a run of prose, a number doesn't, and
-    short runs, such as lie in program code and quoted names, are left out.
+    A sentence ends with its punctuation before white space; a line end alone doesn't end it. A token with anything but
+    letters inside breaks a run of prose, a number doesn't, and short runs, such as lie in program code and quoted
+    names, are left out.
     """
-    start = 0
-    for stop in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        words, run = [], []
-        for match in TOKEN.finditer(text, start, stop):
-            token = match.group().strip(OUTER)
-            plain = token.replace("'", "").replace("’", "").replace("-", "")
-            if plain.isalpha():
-                run += [(word, match.start()) for word in token.lower().replace("’", "'").split("-")]
-            elif plain and not plain.replace(",", "").replace(".", "").isdigit():
-                words, run = words + (run if len(run) >= LEAST_RUN else []), []
-        words += run if len(run) >= LEAST_RUN else []
+    known, out, start = model.tokens, [], 0
+    ends = [m.end() for m in SENTENCE_END.finditer(text)]
+    ends.append(len(text))
+    tokens = TOKEN.finditer(text)
+    match = next(tokens, None)
+    for stop in ends:
+        words, places, run, at = [], [], [], []
+        while match is not None and match.start() < stop:
+            raw, place = match.group(), match.start()
+            match = next(tokens, None)
+            found = known.get(raw, 0)
+            if found == 0:
+                found = model.token(raw)
+            if found:
+                run += found
+                at += [place] * len(found)
+            elif found is None:
+                if len(run) >= LEAST_RUN:
+                    words += run
+                    places += at
+                run, at = [], []
+        if len(run) >= LEAST_RUN:
+            words += run
+            places += at
         if len(words) >= LEAST_WORDS:
-            yield start, stop, [w for w, _ in words], [at for _, at in words]
+            out.append((start, stop, words, places))
         start = stop
+    return out
 
 
 def _normal(text: str) -> str:
-    return text if text.isascii() else unicodedata.normalize("NFC", "".join(c for c in text if unicodedata.category(c) != "Cf"))
+    return text if text.isascii() else unicodedata.normalize("NFC", FORMAT.sub("", text))
 
 
 def mixture(evidence: np.ndarray, docs: np.ndarray, n: int, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -182,20 +222,43 @@ def parts(evidence: np.ndarray, opens: np.ndarray) -> list[tuple[int, int]]:
 
 def analyse(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
     """(document of each sentence, its place, its posterior, its document's proportions)."""
-    docs, spans, evidence = [], [], []
+    if len(model.tokens) > CACHE:
+        model.forget()
+    docs, spans, sizes, flat, held = [], [], [], [], []
     for i, text in enumerate(texts):
         whole = _normal(text) if text else ""
-        for start, end, words, places in sentences(whole):
-            own = np.stack([model.word(w) for w in words])
-            opens = np.array([whole[p].isupper() or "\n" in whole[max(p - 2, 0) : p] for p in places])
-            for a, b in parts(own, opens):
-                docs.append(i)
-                spans.append((places[a] if a else start, places[b] if b < len(words) else end))
-                evidence.append(own[a:b].sum(axis=0))
+        for start, end, words, places in sentences(model, whole):
+            docs.append(i)
+            spans.append((start, end))
+            sizes.append(len(words))
+            flat += words
+            held.append((whole, places))
     if not docs:
         return np.zeros(0, np.int64), [], np.zeros((0, len(model.languages))), np.zeros((len(texts), len(model.languages)))
+    words = model.evidence(flat)
+    starts = np.cumsum(sizes) - sizes
+    evidence = np.add.reduceat(words, starts, axis=0)
+    # the likelihood of a cut sentence is at most 0, so only sentences that no language explains well can gain
+    doubtful = np.flatnonzero(-evidence.max(axis=1) > SPLIT).tolist()
+    cut: dict[int, list[tuple[int, int]]] = {}
+    for k in doubtful:
+        whole, places = held[k]
+        own = words[starts[k] : starts[k] + sizes[k]]
+        opens = np.array([whole[p].isupper() or "\n" in whole[max(p - 2, 0) : p] for p in places])
+        if len(ranges := parts(own, opens)) > 1:
+            cut[k] = ranges
+    if cut:
+        whole_docs, whole_spans, whole_evidence = docs, spans, evidence
+        docs, spans, pieces = [], [], []
+        for k, (doc, span) in enumerate(zip(whole_docs, whole_spans)):
+            places = held[k][1]
+            for a, b in cut.get(k, [(0, sizes[k])]):
+                docs.append(doc)
+                spans.append((places[a] if a else span[0], places[b] if b < sizes[k] else span[1]))
+                pieces.append(words[starts[k] + a : starts[k] + b].sum(axis=0) if k in cut else whole_evidence[k])
+        evidence = np.stack(pieces)
     docs = np.array(docs)
-    evidence = np.maximum(np.stack(evidence), -600.0)
+    evidence = np.maximum(evidence, -600.0)
     share, posterior = mixture(evidence, docs, len(texts))
     return docs, spans, posterior, share
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orewright.functions.hashing import MODULUS, linear_family
 from orewright.operators import graph, partition, patterns, similarity, spectral, triest
 from orewright.operators.blocks import block_pairs
-from orewright.session import materialize
+from orewright.session import materialize, ship
 from orewright.sources import readers
 from orewright.streaming import triest_stream
 
@@ -19,6 +19,7 @@ SAMPLE, WINDOW, COLOURS = 5_000, 5_000, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +30,34 @@ def get_session(master: str = "local[*]", app: str = "orewright", **conf: str) -
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of a session, once, so that it needn't be installed on the executors.
+
+    The archive goes through the shared folder. Operators whose Python code uses modules of the package call this first.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_orewright_shipped", False):
+        return
+    context._orewright_shipped = True
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.writestr(f"{root.name}/{path.relative_to(root)}", path.read_bytes())
+    content = data.getvalue()
+    name = f"{shared_dir(spark)}/{root.name}-{hashlib.sha256(content).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(content))
+    out.close()
+    context.addPyFile(name)
 
 
 def shared_dir(spark: SparkSession) -> str:

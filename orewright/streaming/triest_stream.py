@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orewright.operators.triest import scale_impr
+from orewright.session import ship
 
 OUTPUT = "position long, estimate double"
 _MASK = (1 << 64) - 1
@@ -106,6 +107,7 @@ def triest_stream(edges: DataFrame, m: int = 5000, method: str = "IMPR", seed: i
     """
     if method.upper() not in ("BASE", "IMPR"):
         raise ValueError("method is 'BASE' or 'IMPR'")
+    ship(edges.sparkSession)
     keyed = edges.filter("u is not null and v is not null").select(F.lit(0).alias("key"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "seq")
     return keyed.groupBy("key").applyInPandasWithState(_handler(m, method.upper() == "IMPR", seed), OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout)
 

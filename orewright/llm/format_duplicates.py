@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orewright.llm.set_join import mix
 from orewright.operators.skew import join_totals
-from orewright.session import default_parallelism, materialize
+from orewright.session import default_parallelism, materialize, ship
 
 #: Filter bits for each row, and slices of the filter (each key has one bit in each slice).
 BITS_PER_ROW, SLICES = 8, 4
@@ -147,6 +147,7 @@ def collapse(records: DataFrame, keys: list[str], rows: int | None = None, bits_
     exactly, so a false positive of the filter costs time and changes nothing. ``rows`` is a bound on the records.
     Ids must be unique. Null keys are equal to each other. An empty input gives empty results.
     """
+    ship(records.sparkSession)
     hashed = records.withColumn("hash", F.xxhash64(*keys))
     marked = materialize(possible_repeats(hashed, max(1, rows if rows is not None else records.count()), bits_per_row, max_bits), "marked")
     possible = marked.filter("maybe")

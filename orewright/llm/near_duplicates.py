@@ -7,15 +7,16 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.functions.ragged import pack, ranges
-from orewright.llm.set_join import equal_pairs, linked_pairs, mix, set_hashes
+from orewright.llm.set_join import equal_pairs, linked_pairs, mark_table, mix, set_hashes
 from orewright.operators.blocks import block_pairs
 from orewright.operators.components import components
-from orewright.session import materialize
+from orewright.session import materialize, ship
 
 #: Places of the second permutation (a table that every worker holds), coordinates of a signature, rows of a band.
 UNIVERSE_BITS, COORDINATES, BAND_ROWS = 20, 256, 4
@@ -24,8 +25,7 @@ SLICE = 16_384
 #: Standard errors by which an estimate may lie below the threshold before a pair is refused without its texts.
 MARGIN = 5.5
 
-MEMBERS = "id long, h1 long, h2 long"
-SIGNED = "id long, h1 long, h2 long, n int, bands array<long>, signature binary, text string"
+SIGNED = "id long, h1 long, h2 long, n int, bands array<long>, signature binary"
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +115,8 @@ def _sign(k: int, seed: int):
                 ids = part.column(0).to_numpy()[held]
                 low = signature.astype(np.uint8)
                 columns = [pa.array(ids), pa.array(h1), pa.array(h2), pa.array(np.bincount(groups, minlength=len(held)).astype(np.int32)), bands]
-                columns += [pa.array([row.tobytes() for row in low], pa.binary()), pa.array([texts[i] for i in held.tolist()], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "n", "bands", "signature", "text"])
+                columns.append(pa.array([row.tobytes() for row in low], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "n", "bands", "signature"])
 
     return run
 
@@ -161,6 +161,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: str = "0
     is at least ``threshold``. With 256 coordinates in bands of 4, a pair at 0.6 is missed with a chance of about
     1.4e-4, at 0.7 of 3e-8. Null ids and texts, and texts without a shingle, have no part.
     """
+    ship(df.sparkSession)
     t = Fraction(threshold)
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.replace(F.col(text_col), F.lit("\r\n"), F.lit(" ")).alias("text"))
     plain = plain.filter(F.col("id").isNotNull() & (F.length("text") >= k))
@@ -173,15 +174,48 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: str = "0
     pairs = block_pairs(rows, ["band"], F.struct("h1", "h2"), keep, {"x": F.struct("a.h1", "a.h2"), "y": F.struct("b.h1", "b.h2")})
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = pairs.select(F.col("x.h1").alias("a1"), F.col("x.h2").alias("a2"), F.col("y.h1").alias("b1"), F.col("y.h2").alias("b2")).distinct()
-    signature, text = reps.select("h1", "h2", "signature"), reps.select("h1", "h2", "text")
+    signature, ids = reps.select("h1", "h2", "signature"), reps.select("h1", "h2", "id")
     likely = pairs.join(signature.toDF("a1", "a2", "sig_a"), ["a1", "a2"]).join(signature.toDF("b1", "b2", "sig_b"), ["b1", "b2"])
     likely = materialize(likely.mapInArrow(_estimate(float(t)), "a1 long, a2 long, b1 long, b2 long"), "likely_pairs")
+    ends = likely.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(likely.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
+    wanted = materialize(ends.join(ids, ["h1", "h2"]), "wanted")
+    text = _only(plain, mark_table(wanted.select(F.xxhash64("id").alias("h1")))).join(wanted, "id").select("h1", "h2", "text")
+    text = materialize(text.mapInArrow(_matching(k), "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"]), "wanted_texts")
     texts = likely.join(text.toDF("a1", "a2", "text_a"), ["a1", "a2"]).join(text.toDF("b1", "b2", "text_b"), ["b1", "b2"])
     return members, materialize(texts.mapInArrow(_verify(t, k), "a1 long, a2 long, b1 long, b2 long, similarity double"), "links")
 
 
+def _matching(k: int):
+    """Keeps the texts that have the content hash they were fetched for: an id may come with several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, 2):
+                groups, hashes = shingle_hashes(texts, k)
+                held, groups = np.unique(groups, return_inverse=True)
+                same = np.zeros(len(texts), bool)
+                h = set_hashes(groups, hashes)
+                same[held] = (h[0] == part.column(0).to_numpy()[held]) & (h[1] == part.column(1).to_numpy()[held])
+                yield part.filter(pa.array(same))
+
+    return run
+
+
+def _only(plain: DataFrame, table: np.ndarray) -> DataFrame:
+    """The texts whose id is marked in a bitmap of fixed size, so that few others are shuffled."""
+    bits = len(table).bit_length() - 1
+    marked = plain.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def wanted(hashes: pd.Series) -> pd.Series:
+        return pd.Series(marked.value[(hashes.to_numpy().astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)])
+
+    return plain.filter(wanted(F.xxhash64("id")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """More partitions for work that is heavy for each byte; only where the scan gives fewer than the session's parallelism."""
+    ship(df.sparkSession)
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(2 * wanted)
 

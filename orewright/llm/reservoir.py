@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orewright.session import materialize
+from orewright.session import materialize, ship
 
 #: Columns of a state: the sampled row as a struct, which reservoir it lies in, how many rows that stands for, and the
 #: row's place in its random order. A reservoir of an empty partition has no row.
@@ -80,6 +80,7 @@ def reservoirs(df: DataFrame, m: int, seed: int) -> DataFrame:
     """
     if m < 1:
         raise ValueError("m must be at least 1")
+    ship(df.sparkSession)
     schema = T.StructType([T.StructField("row", df.schema), *[T.StructField(name, T.LongType()) for name in STATE[1:]]])
     return materialize(df.select(F.struct("*").alias("row")).mapInArrow(_fill(m, seed), schema), "reservoirs")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from orewright.functions.ragged import ranges, unpack, unique_per_group
 from orewright.llm.sets import hashed_counts, slot
 from orewright.operators.blocks import block_pairs
-from orewright.session import materialize
+from orewright.session import materialize, ship
 
 #: Hashed token counters: 2 ** COUNTER_BITS, a fixed 32 MB at most.
 COUNTER_BITS = 22
@@ -183,6 +183,7 @@ def similar_sets(df: DataFrame, id_col: str, set_col: str, threshold: str = "0.8
     with a null id, a null set or no element have no part. An id that comes with several different sets is a member of
     each. Empty inputs give empty results.
     """
+    ship(df.sparkSession)
     t = Fraction(threshold)
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(set_col).cast("array<int>").alias("items")).filter("id is not null and size(items) > 0")
     members = materialize(plain.mapInArrow(_describe, MEMBERS).groupBy("id", "h1", "h2").agg(F.first("n").alias("n")), "members")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.functions.ragged import pack, unique_per_group, unpack
-from orewright.session import default_parallelism, materialize
+from orewright.session import default_parallelism, materialize, ship
 
 #: Rows that a node unites in its memory at most, on average.
 NODE_ROWS = 250_000
@@ -68,6 +68,7 @@ def read_sets(df: DataFrame, id_col: str, set_col: str, keep: np.ndarray | None
 
     Rows without an id or without any element are left out. ``keep`` may name the slots whose items are wanted.
     """
+    ship(df.sparkSession)
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(set_col).cast("array<int>").alias("items"))
     return plain.filter("id is not null and size(items) > 0").mapInArrow(_within_batch(keep), SETS)
 

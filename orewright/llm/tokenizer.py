@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from orewright.functions.ragged import pack
 from orewright.llm.characters import SPACE, classes
 from orewright.llm.near_duplicates import code_points, spread, text_slices
+from orewright.session import ship
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -230,6 +231,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_
 
 def decode(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(id, text) of (id, ids): the inverse of ``encode``, but for null texts, which come back empty."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(vocabulary).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.functions.ragged import pack, ranges
+from orewright.llm.format_duplicates import possible_repeats
 from orewright.llm.set_join import equal_pairs, linked_pairs, mark_table, mix, set_hashes
 from orewright.operators.blocks import block_pairs
 from orewright.operators.components import components
@@ -169,7 +170,9 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: str = "0
     members = signed.select("id", "h1", "h2").distinct()
     firsts = signed.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     reps = materialize(signed.join(firsts, ["id", "h1", "h2"]).dropDuplicates(["h1", "h2"]), "classes")
-    rows = reps.select("h1", "h2", "n", F.explode("bands").alias("band"))
+    rows = reps.select("h1", "h2", "n", F.explode("bands").alias("hash"))
+    shared = possible_repeats(rows, max(1, reps.count() * (COORDINATES // BAND_ROWS))).filter("maybe")
+    rows = materialize(shared.select("h1", "h2", "n", F.col("hash").alias("band")), "shared_bands")
     keep = F.least("a.n", "b.n") * t.denominator >= F.greatest("a.n", "b.n") * t.numerator
     pairs = block_pairs(rows, ["band"], F.struct("h1", "h2"), keep, {"x": F.struct("a.h1", "a.h2"), "y": F.struct("b.h1", "b.h2")})
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))

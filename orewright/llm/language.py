@@ -258,7 +258,8 @@ def analyse(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[tup
                 pieces.append(words[starts[k] + a : starts[k] + b].sum(axis=0) if k in cut else whole_evidence[k])
         evidence = np.stack(pieces)
     docs = np.array(docs)
-    evidence = np.maximum(evidence, -600.0)
+    # only differences between languages count; they are bounded so that no likelihood becomes 0
+    evidence = np.maximum(evidence - evidence.max(axis=1, keepdims=True), -600.0)
     share, posterior = mixture(evidence, docs, len(texts))
     return docs, spans, posterior, share
 

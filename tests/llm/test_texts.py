@@ -230,6 +230,17 @@ def test_mixed_documents(spark, samples):
         assert s.lang in want[s.id] and s.start < s.end
 
 
+@pytest.mark.parametrize("n", [300, 2_000, 20_000])
+def test_long_texts_without_sentence_ends(samples, n):
+    model, by = language.train(samples), {}
+    for r in samples.collect():
+        by.setdefault(r.lang, []).extend(re.findall(r"[^\W\d_]+", r.text))
+    texts = [" ".join((words * n)[:n]) for _, words in sorted(by.items())]
+    docs, _, posterior, share = language.analyse(model, texts)
+    assert docs.tolist() == list(range(len(by)))
+    assert [model.languages[i] for i in posterior.argmax(axis=1)] == [model.languages[i] for i in share.argmax(axis=1)] == sorted(by)
+
+
 def test_labels(spark):
     rows = [("EN", "en"), (" en-US ", "en"), ("pt_BR", "pt"), ("Deutsch", "de"), ("fre", "fr"), ("xx", None), ("und", None), ("", None), (None, None), ("no", None), ("zh-Hans-CN", None), ("sv-SE", "sv"), ("en us", None)]
     from pyspark.sql import functions as F

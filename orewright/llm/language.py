@@ -24,8 +24,10 @@ LENGTHS, BUCKETS, SMOOTHING = (1, 2, 3, 4, 5), 1 << 16, 0.3
 WORD_LIMIT, PENALTY = 12.0, 14.0
 #: What another language within a sentence must gain, in nats, for the sentence to be cut.
 SPLIT = 40.0
-#: Words that a sentence needs, and consecutive ones that count as prose.
+#: Words that a sentence needs (unless it is a whole short one), and consecutive ones that count as prose.
 LEAST_WORDS, LEAST_RUN = 5, 5
+#: Words that a sentence with no such run needs for each token that isn't prose; program code has fewer than two.
+WORDS_PER_BREAK = 3
 #: Labelled samples that a model is trained on at most (the smallest ids).
 MAX_SAMPLES = 10_000
 #: Tokens whose words a worker keeps before it starts anew.
@@ -33,9 +35,12 @@ CACHE = 300_000
 
 SENTENCE_END = re.compile(r"[.!?…。]+[\"'”’»)\]]*(?=\s|$)")
 TOKEN = re.compile(r"\S+")
+QUOTE = re.compile("[\"“”„«»]")
 # Format characters, which are not seen (soft hyphen, zero-width and direction marks, byte order mark).
 FORMAT = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]")
 OUTER = "\"'“”‘’«»„(),.;:!?…¿¡>-–—"
+# Characters of markup around words; alone they are operators or rules, not prose.
+MARKUP = "*_`~[]"
 SEGMENTS = "id long, label string, segment int, start int, end int, lang string, confidence double"
 LANGUAGES = "id long, label string, lang string, confidence double, sentences int"
 
@@ -85,8 +90,8 @@ class Model:
         self.rows: list[np.ndarray] = []
 
     def token(self, token: str) -> tuple[int, ...] | None:
-        """The words of a token that is new: letters only, with punctuation around them and hyphens or apostrophes inside."""
-        bare = token.strip(OUTER).replace("’", "'")
+        """The words of a token that is new: letters only, with punctuation and markup around them and hyphens or apostrophes inside."""
+        bare = (token.strip(OUTER + MARKUP) or token.strip(OUTER)).replace("’", "'")
         plain = bare.replace("'", "").replace("-", "")
         if plain.isalpha():
             words = tuple(self._number(word) for word in bare.lower().split("-"))
@@ -123,20 +128,28 @@ def train(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
+def _said(text: str) -> bool:
+    """Whether a few words say something: all in capitals, or any after the first in lower case, as names aren't; none quoted."""
+    return not QUOTE.search(text.strip().strip(OUTER + MARKUP)) and (text.isupper() or any(raw.strip(OUTER + MARKUP)[:1].islower() for raw in text.split()[1:]))
+
+
 def sentences(model: Model, text: str) -> list[tuple[int, int, list[int], list[int]]]:
     """(start, end, words of prose, their places) of each sentence.
 
     A sentence ends with its punctuation before white space; a line end alone doesn't end it. A token with anything but
     letters inside breaks a run of prose, a number doesn't, and short runs, such as lie in program code and quoted
-    names, are left out.
+    names, are left out. A sentence of short runs only counts as a whole, if it has enough words for its other tokens;
+    one of two to four words counts if it ends with its punctuation, has no other tokens, isn't made of names and quotes nothing.
     """
     known, out, start = model.tokens, [], 0
     ends = [m.end() for m in SENTENCE_END.finditer(text)]
+    closed = set(ends)
     ends.append(len(text))
     tokens = TOKEN.finditer(text)
     match = next(tokens, None)
     for stop in ends:
         words, places, run, at = [], [], [], []
+        short, short_at, breaks = [], [], 0
         while match is not None and match.start() < stop:
             raw, place = match.group(), match.start()
             match = next(tokens, None)
@@ -150,11 +163,17 @@ def sentences(model: Model, text: str) -> list[tuple[int, int, list[int], list[i
                 if len(run) >= LEAST_RUN:
                     words += run
                     places += at
+                else:
+                    short += run
+                    short_at += at
+                breaks += 1
                 run, at = [], []
         if len(run) >= LEAST_RUN:
             words += run
             places += at
-        if len(words) >= LEAST_WORDS:
+        elif not words and len(short) + len(run) >= WORDS_PER_BREAK * breaks:
+            words, places = short + run, short_at + at
+        if len(words) >= LEAST_WORDS or len(words) > 1 and not breaks and stop in closed and _said(text[start:stop]):
             out.append((start, stop, words, places))
         start = stop
     return out

@@ -241,6 +241,20 @@ def test_long_texts_without_sentence_ends(samples, n):
     assert [model.languages[i] for i in posterior.argmax(axis=1)] == [model.languages[i] for i in share.argmax(axis=1)] == sorted(by)
 
 
+def test_sentences_of_short_runs(samples):
+    model = language.train(samples)
+    kept = [
+        ("Was wäre *ohne* die 41203 *zusätzlichen* Zeilen von _Galhulfava_ gedruckt worden?", "de"),
+        ("*Hur* *många* trianglar räknar ~Kanasada~ *när* [fönstret] *i* `Velzusolka` stängs?", "sv"),
+        ("Le lecteur lit [17b] toutes les arêtes a1b2 avant la première purge.", "fr"),
+        ("Vi läser alla kanter.", "sv"), ("THE READER IS EMPTY!", "en"), ("Die Kanten fehlen…", "de"),
+    ]
+    docs, _, posterior, _ = language.analyse(model, [t for t, _ in kept])
+    assert [(d, model.languages[p.argmax()]) for d, p in zip(docs, posterior)] == [(i, lang) for i, (_, lang) in enumerate(kept)]
+    dropped = ["int cut = links / 2; // round 93, swaps 52", "for (i <- 1 to 58) yield (a * i + 12) % p", "if (count >= sup * 37) keep += item18", "Anna Bergström.", "graphe.", "http://galma.example/run x1", "small world", '"small world" Artikel.']
+    assert not len(language.analyse(model, dropped)[0])
+
+
 def test_labels(spark):
     rows = [("EN", "en"), (" en-US ", "en"), ("pt_BR", "pt"), ("Deutsch", "de"), ("fre", "fr"), ("xx", None), ("und", None), ("", None), (None, None), ("no", None), ("zh-Hans-CN", None), ("sv-SE", "sv"), ("en us", None)]
     from pyspark.sql import functions as F

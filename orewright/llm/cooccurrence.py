@@ -156,15 +156,17 @@ def associated_pairs(df: DataFrame, id_col: str, set_col: str, min_share: str =
 
     n_all counts the distinct ids that hold any item; lift is n * n_all / (n_a * n_b), compared without rounding.
     Items that can't reach the share by a hashed upper bound of their count are left out of the sets first, which
-    changes no result. Null ids, null elements, null and empty sets count for nothing; ids delivered again and
+    changes no result; a share of 0 and a lift of 0 give all pairs. Null ids, null elements, null and empty sets count for nothing; ids delivered again and
     elements repeated within an id count once. An empty input gives an empty result.
     """
     raw = read_sets(df, id_col, set_col)
     n_all = raw.select("id").distinct().count()
     share = Fraction(min_share)
     min_count = max(1, -(-n_all * share.numerator // share.denominator))
-    slots = 1 << max(10, min(22, int(512 / float(share)).bit_length()))
-    keep = hashed_counts(raw, slots) >= min_count
+    keep = None
+    if min_count > 1:
+        slots = 1 << max(10, min(22, int(512 / float(share)).bit_length()))
+        keep = hashed_counts(raw, slots) >= min_count
     singles, pairs = pair_counts(one_set_each(df, id_col, set_col, keep), min_count, block)
     singles = materialize(singles, "frequent_items")
     if singles.count() <= 200_000:

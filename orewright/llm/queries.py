@@ -58,6 +58,10 @@ def p6_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.associated_pairs(_table(spark, sf_dir, "baskets"), "basket_id", "items").select("item_a", "item_b", "n", "n_a", "n_b", "n_all")
 
 
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.associated_pairs(_table(spark, sf_dir, "baskets"), "basket_id", "items", "0", 0)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     baskets = set_join.similar_id_pairs(_table(spark, sf_dir, "baskets"), "basket_id", "items")
     sets = set_join.similar_id_pairs(_table(spark, sf_dir, "shingle_sets"), "set_id", "shingles")
@@ -88,7 +92,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p7_found, p7_set_classes, p8_ids, p9_found, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_sample, p4_found, p4_top_items, p5_found, p5_groups, p6_found, p6_associations, p6_pairs, p7_found, p7_set_classes, p8_ids, p9_found, p10_found, p10_segments)}
 
 
 _RECORDS = r"""select least(v[1], v[2]) as low, greatest(v[1], v[2]) as high, kind, line_id from (
@@ -104,6 +108,11 @@ p as (select x.item as item_a, y.item as item_b, count(*) as n from f x join f y
 select p.item_a, p.item_b, p.n, a.n as n_a, b.n as n_b, n_all from p join c a on a.item = p.item_a join c b on b.item = p.item_b, n
 where p.n * 200 >= n_all and p.n::hugeint * n_all >= 3 * a.n::hugeint * b.n"""
 
+_ALL_PAIRS = f"""with h as ({_HELD}), n as (select count(distinct basket_id) as n_all from h), c as (select item, count(*) as n from h group by item),
+p as (select x.item as item_a, y.item as item_b, count(*) as n from h x join h y on x.basket_id = y.basket_id and x.item < y.item group by all)
+select p.item_a, p.item_b, p.n, a.n as n_a, b.n as n_b, n_all, p.n::double * n_all / (a.n::double * b.n::double) as lift
+from p join c a on a.item = p.item_a join c b on b.item = p.item_b, n"""
+
 
 def _similar(origin: str, id_col: str, set_col: str, table: str) -> str:
     return f"""select '{origin}' as origin, p.x as id_a, p.y as id_b from (
@@ -124,6 +133,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_top_items": _TOP,
         "p6_found": f"select item_a, item_b from ({_PAIRS})",
         "p6_associations": _PAIRS,
+        "p6_pairs": _ALL_PAIRS,
         "p7_found": f"with {_elements('eb', 'basket_id', 'items', 'baskets')}, {_elements('es', 'set_id', 'shingles', 'shingle_sets')} "
         + _similar("baskets", "basket_id", "items", "eb") + " union all " + _similar("shingle_sets", "set_id", "shingles", "es"),
     }

@@ -65,6 +65,14 @@ def test_associations(spark, rows, block, share, lift):
     assert got == want
 
 
+def test_all_pairs(spark, rows):
+    held = _sets(rows)
+    single = Counter(x for s in held.values() for x in s)
+    pairs = Counter(p for s in held.values() for p in itertools.combinations(sorted(s), 2))
+    got = {tuple(r) for r in cooccurrence.associated_pairs(_frame(spark, rows), "b", "s", "0", 0).collect()}
+    assert got == {(a, b, c, single[a], single[b], len(held), c * len(held) / (single[a] * single[b])) for (a, b), c in pairs.items()}
+
+
 def test_huge_basket(spark):
     rows = [(1, list(range(500))), (2, list(range(400, 700)))]
     _, pairs = cooccurrence.pair_counts(sets.one_set_each(_frame(spark, rows), "b", "s"), 1, 64)

@@ -16,9 +16,9 @@ from orewright.session import default_parallelism, materialize, ship
 
 #: Filter bits for each row, and slices of the filter (each key has one bit in each slice).
 BITS_PER_ROW, SLICES = 8, 4
-#: Bits of the largest filter that is broadcast (32 MB). More rows take several rounds over ranges of the hash, and
-#: beyond MAX_ROUNDS everything is grouped exactly without a filter.
-MAX_BITS, MAX_ROUNDS = 1 << 28, 8
+#: Bits of the smallest filter, and of the largest that is broadcast (32 MB). More rows take as many rounds over ranges
+#: of the hash as they need, each with a filter of its own.
+LEAST_BITS, MAX_BITS = 1 << 13, 1 << 28
 _BLOCK = 1 << 17
 
 
@@ -94,7 +94,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW) -> np.ndarray:
     """The ``twice`` array for a single 64-bit column, filled by partition and merged by block in the cluster."""
-    bits = min(MAX_BITS, 1 << max(13, (rows * bits_per_row - 1).bit_length()))
+    bits = min(MAX_BITS, max(LEAST_BITS, 1 << (rows * bits_per_row - 1).bit_length()))
     nodes = default_parallelism(hashes.sparkSession)
     filled = hashes.mapInArrow(_fill(bits), "block int, once binary, twice binary").repartition(nodes, "block")
     twice = np.zeros(bits // 8, np.uint8)
@@ -106,9 +106,7 @@ def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW
 
 def possible_repeats(records: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
     """``records`` with ``maybe``: false for a record whose ``hash`` surely occurs once."""
-    rounds = max(1, -(-rows * bits_per_row // max_bits))
-    if rounds > MAX_ROUNDS:
-        return records.withColumn("maybe", F.lit(True))
+    rounds = max(1, -(-rows * bits_per_row // max(LEAST_BITS, max_bits)))
     spark, parts = records.sparkSession, []
     for r in range(rounds):
         own = records if rounds == 1 else records.filter(F.pmod(F.shiftright("hash", 32), F.lit(rounds)) == r)

@@ -104,7 +104,8 @@ class Model:
         number = self.numbers.get(word)
         if number is None:
             number = self.numbers[word] = len(self.rows)
-            score = self.table[_grams(word[:64])].sum(axis=0)
+            grams = _grams(word)
+            score = sum(self.table[grams[at : at + 10_000]].sum(axis=0) for at in range(0, len(grams), 10_000))
             self.rows.append(np.maximum(score - score.max(), -WORD_LIMIT))
         return number
 

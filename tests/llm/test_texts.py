@@ -255,6 +255,13 @@ def test_sentences_of_short_runs(samples):
     assert not len(language.analyse(model, dropped)[0])
 
 
+def test_long_words_are_scored_whole(samples):
+    model = language.train(samples)
+    a, b = ("".join(re.findall(r"[^\W\d_]+", " ".join(r.text for r in samples.filter(f"lang = '{lang}'").collect()).lower()))[:n] for lang, n in (("en", 64), ("ru", 2_000)))
+    assert model.languages[model.evidence([model._number(a)])[0].argmax()] == "en"
+    assert model.languages[model.evidence([model._number(a + b)])[0].argmax()] == "ru"
+
+
 def test_labels(spark):
     rows = [("EN", "en"), (" en-US ", "en"), ("pt_BR", "pt"), ("Deutsch", "de"), ("fre", "fr"), ("xx", None), ("und", None), ("", None), (None, None), ("no", None), ("zh-Hans-CN", None), ("sv-SE", "sv"), ("en us", None)]
     from pyspark.sql import functions as F

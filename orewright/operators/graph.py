@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewright.operators.skew import index_rows
+from orewright.operators.skew import index_rows, running_sums
 from orewright.session import materialize
 
 
@@ -62,13 +62,13 @@ def triangle_count_windows(edges: DataFrame, size: int, include_partial: bool =
 
     ``edges`` are canonical with their ``seq``; a triangle is seen when its last edge comes. The count never falls, so
     its greatest value in a window is the one at the window's end. The last window is given only if it is full or
-    ``include_partial`` is set. Only one row for each window is summed in order.
+    ``include_partial`` is set. Only one row for each window is summed, by ranges of windows.
     """
     placed = index_rows(edges, ["seq", "u", "v"])
     window = F.floor((F.col("position") - 1) / size).cast("long").alias("window_id")
     closing = triangles(placed, ["position"]).select(F.array_max("position").alias("position"))
     closed = closing.select(window).groupBy("window_id").agg(F.count(F.lit(1)).alias("closed"))
     full = placed.select(window).groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy("window_id")
-    out = full.join(closed, "window_id", "left").select("window_id", "n", F.sum(F.coalesce("closed", F.lit(0))).over(running).cast("double").alias("estimate"))
+    seen = running_sums(full.join(closed, "window_id", "left"), ["window_id"], "seen", F.col("closed"))
+    out = seen.select("window_id", "n", F.col("seen").cast("double").alias("estimate"))
     return out if include_partial else out.filter(F.col("n") == size)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,27 +22,59 @@ from orewright.session import materialize
 MAX_BROADCAST_OFFSETS = 200_000
 
 
+class _Codes:
+    """Dense codes of values met batch by batch, exact for every Arrow type with equality; null is a value of its own."""
+
+    def __init__(self) -> None:
+        self.known: pa.Array | None = None
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        if self.known is None:
+            self.known = column.slice(0, 0)
+        found = pc.index_in(column, value_set=self.known)
+        if found.null_count:
+            new = pc.unique(column.filter(found.is_null()))
+            self.known = pa.concat_arrays([self.known, new])
+            found = pc.index_in(column, value_set=self.known)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class _Counters:
+    """How often each 64-bit key was seen, as sorted arrays."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        """The running number of each occurrence, from 0, over all calls."""
+        distinct, code, n = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.argsort(code, kind="stable")
+        local = np.empty(len(keys), np.int64)
+        local[order] = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.searchsorted(self.keys, distinct)
+        held = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        held[inside] = self.keys[at[inside]] == distinct[inside]
+        base = np.zeros(len(distinct), np.int64)
+        base[held] = self.counts[at[held]]
+        self.counts[at[held]] += n[held]
+        self.keys, self.counts = np.insert(self.keys, at[~held], distinct[~held]), np.insert(self.counts, at[~held], n[~held])
+        return local + base[code]
+
+
 def _number_partitions(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seen: dict = {}
+        columns, folds, seen = [_Codes() for _ in keys], [_Codes() for _ in keys], _Counters()
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            frame = pa.Table.from_batches([batch.select(keys)]).to_pandas()
-            grouped = frame.groupby(keys if len(keys) > 1 else keys[0], sort=False, dropna=False)
-            local = grouped.cumcount().to_numpy(np.int64)
-            code = grouped.ngroup().to_numpy()
-            first = np.flatnonzero(local == 0)
-            first = first[np.argsort(code[first])]
-            names = list(frame.iloc[first].itertuples(index=False, name=None))
-            names = [tuple(None if x != x else x for x in name) for name in names]
-            base = np.fromiter((seen.get(name, 0) for name in names), np.int64, len(names))
-            for name, total in zip(names, (base + np.bincount(code, minlength=len(names))).tolist()):
-                seen[name] = total
+            code = np.zeros(n, np.int64)
+            for key, column, fold in zip(keys, columns, folds):
+                code = fold(pa.array((code << 32) | column(batch.column(batch.schema.get_field_index(key)))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(local + base[code])],
+                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(seen.number(code))],
                 names=[*batch.schema.names, "_part", "_local"],
             )
 
@@ -54,7 +87,7 @@ def number_rows(df: DataFrame, keys: list[str], chunk_rows: int = 50_000) -> Dat
     One pass tags each row with its partition and its number inside (partition, key) and writes the tagged rows to the
     shared folder, so that counting and numbering see the same rows whatever is recomputed. Offsets are a prefix sum
     over at most one row per (partition, key). Only keys longer than one chunk need offsets; there are at most
-    rows/chunk_rows of them. Null keys are a key of their own. The columns ``_part``, ``_local``, ``key_row``,
+    rows/chunk_rows of them. Null keys are a key of their own; keys of any type with equality are told apart exactly. The columns ``_part``, ``_local``, ``key_row``,
     ``chunk`` must not exist in ``df``. An empty input gives an empty result.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
@@ -86,20 +119,18 @@ def chunk_states(numbered: DataFrame, keys: list[str], **aggs: Column) -> DataFr
     )
 
 
-def merge_counts(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of each key from its ordered chunk states; a state that doesn't continue its predecessor is an error."""
+def merge_states(states: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """(keys, sums, chunks): the ordered chunk states of each key, merged; a state that doesn't continue its predecessor is an error."""
     order = Window.partitionBy(*keys).orderBy("chunk")
     joined = states.withColumn("_expected", F.coalesce(F.lag("last_row").over(order) + 1, F.lit(0)))
-    checked = F.when(F.col("first_row") == F.col("_expected"), F.col("rows")).otherwise(
-        F.raise_error(F.lit("the chunks of a key don't join"))
-    )
-    return joined.groupBy(*keys).agg(F.sum(checked.cast("long")).alias("rows"), F.count(F.lit(1)).alias("chunks"))
+    checked = F.when(F.col("first_row") == F.col("_expected"), F.lit(1)).otherwise(F.raise_error(F.lit("the chunks of a key don't join")).cast("int"))
+    return joined.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.sum(checked).alias("chunks"))
 
 
 def key_rows(df: DataFrame, keys: list[str], chunk_rows: int = 50_000) -> DataFrame:
     """(keys, rows, chunks) for every key of ``df``, through chunks of equal size."""
     numbered = number_rows(df.select(*keys), keys, chunk_rows)
-    return merge_counts(chunk_states(numbered, keys), keys)
+    return merge_states(chunk_states(numbered, keys), keys, ["rows"])
 
 
 def incidences(edges: DataFrame, links: DataFrame) -> DataFrame:
@@ -127,8 +158,9 @@ def vertex_degrees(edges: DataFrame, links: DataFrame, chunk_rows: int = 50_000)
     """(origin, vertex, rows, neighbours) of every vertex: its rows and its distinct other ends (itself left out)."""
     keys = ["origin", "vertex"]
     distinct = ordered_neighbours(incidences(edges, links))
-    states = chunk_states(number_rows(distinct, keys, chunk_rows), keys, all_rows=F.sum("n"), others=F.count(F.when(F.col("neighbour") != F.col("vertex"), 1)))
-    return states.groupBy(*keys).agg(F.sum("all_rows").alias("rows"), F.sum("others").alias("neighbours"))
+    numbered = number_rows(distinct, keys, chunk_rows)
+    states = chunk_states(numbered, keys, all_rows=F.sum("n"), neighbours=F.count(F.when(F.col("neighbour") != F.col("vertex"), 1)))
+    return merge_states(states, keys, ["all_rows", "neighbours"]).select(*keys, F.col("all_rows").alias("rows"), "neighbours")
 
 
 def ordered_neighbours(incident: DataFrame) -> DataFrame:
@@ -149,37 +181,47 @@ def neighbour_lists(edges: DataFrame, links: DataFrame, chunk_rows: int = 50_000
     return states.select(*keys, "chunk", "first_row", "neighbours")
 
 
-def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], count: str, many: int = 100_000) -> DataFrame:
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], count: str, many: int = 100_000, most: int = MAX_BROADCAST_OFFSETS) -> DataFrame:
     """``rows`` inner-joined with ``totals`` (one row for each key, ``count`` of its rows) without hot tasks.
 
-    Keys with more than ``many`` rows, of which there are at most rows/many, are joined where their rows lie, if their
-    number allows a broadcast; all others by a shuffle.
+    Keys with more than ``many`` rows are joined where their rows lie; all others by a shuffle. If there are more than
+    ``most`` such keys, the ``most`` largest are: any other key then has less than one in ``most`` of all rows, and no
+    task can suffer from it.
     """
-    hot = materialize(totals.filter(F.col(count) > many), "hot_totals")
-    if not 0 < hot.count() <= MAX_BROADCAST_OFFSETS:
+    hot = materialize(totals.filter(F.col(count) > many).orderBy(F.desc(count)).limit(most), "hot_totals")
+    if hot.isEmpty():
         return rows.join(totals, keys)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals.filter(F.col(count) <= many), keys)
+    names = F.broadcast(hot.select(*keys))
+    cold = rows.join(names, keys, "left_anti").join(totals.join(names, keys, "left_anti"), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-def index_rows(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Adds the 1-based place of each row in the order of the given columns, without bringing the rows to one task.
+def running_sums(df: DataFrame, order: list[str], name: str = "position", value: Column | None = None) -> DataFrame:
+    """Adds the sum of ``value`` (a whole number; 1 by default) over all rows up to each row in the order of the given columns.
 
-    Rows are range-partitioned and sorted, tagged with their place inside the partition and written once; one count
-    for each partition is prefix-summed and joined back. The order must be unique for a defined result.
+    No row is brought to one task: rows are range-partitioned and sorted, tagged with the sum inside their partition and
+    written once; the total of each partition is prefix-summed and joined back. The order must be unique for a defined result.
     """
+    value = F.lit(1) if value is None else value
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
+        part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.num_rows
-            columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n, dtype=np.int64))]
+            place = batch.schema.get_field_index("_value")
+            sums = np.cumsum(batch.column(place).to_numpy(zero_copy_only=False)) + total
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(sums)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_local"])
-            seen += n
+            total = int(sums[-1]) if batch.num_rows else total
 
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
-    tagged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tag, schema), "indexed")
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    valued = df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
+    schema = T.StructType([*valued.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+    tagged = materialize(valued.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tag, schema), "indexed")
+    sizes = tagged.groupBy("_part").agg(F.sum("_value").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_local") + F.col("_offset") + 1).select(*df.columns, name)
+    return tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
+
+
+def index_rows(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Adds the 1-based place of each row in the order of the given columns, without bringing the rows to one task."""
+    return running_sums(df, order, name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[str] = []
 
 
-def get_session(master: str = "local[*]", app: str = "orewright", **conf: str) -> SparkSession:
-    """A session with this engine's defaults; ``conf`` keys use ``__`` for dots."""
+def get_session(master: str = "local[*]", app: str = "orewright", shared: str | None = None, **conf: str) -> SparkSession:
+    """A session with this engine's defaults; ``shared`` is the folder all executors share, ``conf`` keys use ``__`` for dots."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -28,6 +29,8 @@ def get_session(master: str = "local[*]", app: str = "orewright", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -61,10 +64,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only where that is unset and all work is done in this process (master ``local``) a temporary folder is used; on a
+    cluster an unset folder is an error, as executors would write to disks of their own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark.sparkContext, "_orewright_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="orewright-")
@@ -79,13 +88,40 @@ def _remove(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a cut of the lineage that survives lost executors."""
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    With ``by`` each value of those columns gets a folder of its own, which a filter on them reads alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._orewright_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``materialize`` that nothing reads any more, such as those of a finished round."""
+    for df in tables:
+        path = getattr(df, "_orewright_path", None)
+        if path in _written:
+            _delete(df.sparkSession, path)
+            _written.remove(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one, for files in other formats; ``clear_shared`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def default_parallelism(spark: SparkSession) -> int:
@@ -96,6 +132,5 @@ def default_parallelism(spark: SparkSession) -> int:
 def clear_shared(spark: SparkSession) -> None:
     """Deletes the intermediate tables that this process wrote; results that still read them become unusable."""
     for path in _written:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     _written.clear()

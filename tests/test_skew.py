@@ -62,6 +62,23 @@ def test_number_rows(spark):
         assert sorted(r.x for r in own) == list(range(n))
 
 
+def test_keys_of_any_type_stay_apart(spark):
+    big = 2**53
+    df = spark.createDataFrame([(big, "x"), (big + 1, "x"), (None, "x"), (big, None), (big, "x"), (None, None)] * 40, "k long, s string").repartition(5)
+    got = {(r.k, r.s): (r["rows"], r.chunks) for r in skew.key_rows(df, ["k", "s"], 16).collect()}
+    assert got == {(big, "x"): (80, 5), (big + 1, "x"): (40, 3), (None, "x"): (40, 3), (big, None): (40, 3), (None, None): (40, 3)}
+    assert {(r.k, r["rows"]) for r in skew.key_rows(df, ["k"], 16).collect()} == {(big, 120), (big + 1, 40), (None, 80)}
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5) for i in random.Random(2).sample(range(300), 300)], "x int, n int").repartition(4)
+    total, want = 0, {}
+    for i in range(300):
+        total += 0 if i % 7 == 0 else i % 5
+        want[i] = total
+    assert {r.x: r.s for r in skew.running_sums(df, ["x"], "s", F.col("n")).collect()} == want
+
+
 def test_empty(spark):
     e, l = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "src int, dst int")
     assert skew.hot_vertices(e, l).count() == skew.vertex_degrees(e, l).count() == skew.neighbour_lists(e, l).count() == 0
@@ -70,7 +87,7 @@ def test_empty(spark):
 def test_broken_chunks_are_an_error(spark):
     states = spark.createDataFrame([("a", 0, 5, 0, 4), ("a", 1, 5, 6, 10)], "k string, chunk long, rows long, first_row long, last_row long")
     with pytest.raises(Exception, match="don't join"):
-        skew.merge_counts(states, ["k"]).collect()
+        skew.merge_states(states, ["k"], ["rows"]).collect()
 
 
 def test_index_rows(spark):
@@ -79,10 +96,11 @@ def test_index_rows(spark):
     assert {r.x: r.position for r in skew.index_rows(df, ["x"]).collect()} == {v: i + 1 for i, v in enumerate(sorted(values))}
 
 
-def test_join_totals(spark):
+@pytest.mark.parametrize("most", [1, 200_000])
+def test_join_totals(spark, most):
     rows = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)], "k int, x int")
     totals = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    assert sorted(map(tuple, skew.join_totals(rows, totals, ["k"], "n", many=10).collect())) == sorted(map(tuple, rows.join(totals, ["k"]).collect()))
+    assert sorted(map(tuple, skew.join_totals(rows, totals, ["k"], "n", many=10, most=most).collect())) == sorted(map(tuple, rows.join(totals, ["k"]).collect()))
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000])

@@ -12,8 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orewright.functions.mixing import hashed_counts
 from orewright.functions.ragged import ranges
-from orewright.llm.sets import add_counts, hashed_counts, one_set_each, read_sets
+from orewright.llm.sets import add_counts, one_set_each, read_sets
 from orewright.session import default_parallelism, materialize
 
 #: Items in a block; a set with more is cut into blocks, and every pair of blocks is work of its own.

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewright.llm.set_join import mix
+from orewright.functions.mixing import mix
 from orewright.operators.skew import join_totals
-from orewright.session import default_parallelism, materialize, ship
+from orewright.session import default_parallelism, discard, materialize, ship
 
 #: Filter bits for each row, and slices of the filter (each key has one bit in each slice).
 BITS_PER_ROW, SLICES = 8, 4
-#: Bits of the smallest filter, and of the largest that is broadcast (32 MB). More rows take as many rounds over ranges
-#: of the hash as they need, each with a filter of its own.
-LEAST_BITS, MAX_BITS = 1 << 13, 1 << 28
+#: Bits of the smallest filter, and of the largest that is broadcast (64 MB). More rows are written once by ranges of their
+#: hash, and each range has a filter of its own, filled from and applied to the rows of that range only.
+LEAST_BITS, MAX_BITS = 1 << 13, 1 << 29
 _BLOCK = 1 << 17
 
 
@@ -62,12 +62,13 @@ def maybe_repeated(twice: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fill(bits: int):
+def _fill(bits: int, expand: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, any_row = SeenTwice(bits), False
-        for batch in batches:
+        seen, any_row = None, False
+        for batch in expand(batches):
             if batch.num_rows:
-                seen.add(batch.column(0).to_numpy())
+                seen = seen or SeenTwice(bits)
+                seen.add(batch.column(batch.schema.get_field_index("hash")).to_numpy())
                 any_row = True
         for at in range(0, bits // 8 if any_row else 0, _BLOCK):
             once, twice = seen.once[at : at + _BLOCK], seen.twice[at : at + _BLOCK]
@@ -92,11 +93,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)])], names=["block", "twice"])
 
 
-def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW) -> np.ndarray:
-    """The ``twice`` array for a single 64-bit column, filled by partition and merged by block in the cluster."""
+def repeat_filter(df: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW, expand: Callable = iter) -> np.ndarray:
+    """The ``twice`` array for the column ``hash`` of what ``expand`` makes of the batches, filled by partition and merged by block."""
     bits = min(MAX_BITS, max(LEAST_BITS, 1 << (rows * bits_per_row - 1).bit_length()))
-    nodes = default_parallelism(hashes.sparkSession)
-    filled = hashes.mapInArrow(_fill(bits), "block int, once binary, twice binary").repartition(nodes, "block")
+    nodes = default_parallelism(df.sparkSession)
+    filled = df.mapInArrow(_fill(bits, expand), "block int, once binary, twice binary").repartition(nodes, "block")
     twice = np.zeros(bits // 8, np.uint8)
     for block, data in filled.mapInArrow(_merge, "block int, twice binary").toLocalIterator():
         part = np.frombuffer(zlib.decompress(data), np.uint8)
@@ -104,23 +105,36 @@ def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW
     return twice
 
 
-def possible_repeats(records: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
-    """``records`` with ``maybe``: false for a record whose ``hash`` surely occurs once."""
-    rounds = max(1, -(-rows * bits_per_row // max(LEAST_BITS, max_bits)))
-    spark, parts = records.sparkSession, []
-    for r in range(rounds):
-        own = records if rounds == 1 else records.filter(F.pmod(F.shiftright("hash", 32), F.lit(rounds)) == r)
-        shared = spark.sparkContext.broadcast(repeat_filter(own.select("hash"), -(-rows // rounds), bits_per_row))
+def _mark(shared, expand: Callable, only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in expand(batches):
+            maybe = pa.array(maybe_repeated(shared.value, batch.column(batch.schema.get_field_index("hash")).to_numpy()))
+            yield batch.filter(maybe) if only else batch.append_column("maybe", maybe)
+
+    return run
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.append_column("maybe", pa.array(maybe_repeated(shared.value, batch.column(batch.schema.get_field_index("hash")).to_numpy())))
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema) + ", maybe boolean"
-        parts.append(own.mapInArrow(run, schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def possible_repeats(df: DataFrame, schema: str, rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS, expand: Callable = iter, only: bool = False) -> DataFrame:
+    """The rows that ``expand`` makes of ``df`` (of that ``schema``, with a 64-bit ``hash``) and ``maybe``: false where the hash surely occurs once.
+
+    ``rows`` is about their number; with ``only`` the possible repeats alone are given. The result is written to the shared
+    folder and the broadcast filter dropped. If one filter would be too large, the rows are first written once in folders
+    by ranges of the hash; each range is then filtered by itself, so the work stays in proportion to the rows and the
+    filter's false positives stay as few, however many rows there are.
+    """
+    ranges, out = max(1, -(-rows * bits_per_row // max(LEAST_BITS, max_bits))), None
+    held = df
+    if ranges > 1:
+        made = df if expand is iter else df.mapInArrow(expand, schema)
+        held, expand = materialize(made.withColumn("_range", F.pmod(F.shiftright("hash", 32), F.lit(ranges)).cast("int")), "ranges", ["_range"]), iter
+    for r in range(ranges):
+        own = held if ranges == 1 else held.filter(F.col("_range") == r).drop("_range")
+        hashes = own.select("hash") if expand is iter else own
+        shared = df.sparkSession.sparkContext.broadcast(repeat_filter(hashes, -(-rows // ranges), bits_per_row, expand))
+        part = materialize(own.mapInArrow(_mark(shared, expand, only), schema if only else f"{schema}, maybe boolean"), "marked", None if only else ["maybe"])
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    discard(*[held] * (ranges > 1))
     return out
 
 
@@ -146,8 +160,9 @@ def collapse(records: DataFrame, keys: list[str], rows: int | None = None, bits_
     Ids must be unique. Null keys are equal to each other. An empty input gives empty results.
     """
     ship(records.sparkSession)
-    hashed = records.withColumn("hash", F.xxhash64(*keys))
-    marked = materialize(possible_repeats(hashed, max(1, rows if rows is not None else records.count()), bits_per_row, max_bits), "marked")
+    hashed = records.select("id", *keys, F.xxhash64(*keys).alias("hash"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema)
+    marked = possible_repeats(hashed, schema, max(1, rows if rows is not None else records.count()), bits_per_row, max_bits)
     possible = marked.filter("maybe")
     groups = possible.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     once = marked.filter("not maybe").select(*keys, F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orewright.llm.near_duplicates import spread, text_slices
+from orewright.functions.texts import spread, text_slices
 
 #: Lengths of n-grams within a word and its borders, hashed counters of a model, and its smoothing.
 LENGTHS, BUCKETS, SMOOTHING = (1, 2, 3, 4, 5), 1 << 16, 0.3

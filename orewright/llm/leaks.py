@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from orewright.functions.ragged import ranges
 from orewright.llm.characters import LETTER, NUMBER, classes
-from orewright.llm.near_duplicates import code_points, spread, text_slices
-from orewright.llm.set_join import mix
+from orewright.functions.texts import code_points, spread, text_slices
+from orewright.functions.mixing import mix
 
 #: Words of a window.
 WINDOW = 13

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewright.functions.ragged import ranges, unpack, unique_per_group
-from orewright.llm.sets import hashed_counts, slot
+from orewright.functions.mixing import hashed_counts, mix, slot
+from orewright.functions.ragged import pack, ranges, unique_per_group, unpack
 from orewright.operators.blocks import block_pairs
 from orewright.session import materialize, ship
 
@@ -27,14 +27,6 @@ MEMBERS = "id long, h1 long, h2 long, n int"
 KEYS = "key long, h1 long, h2 long, n int, " + ", ".join(f"w{i} long" for i in range(WORDS))
 
 
-def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit bijective mixing of integers."""
-    z = x.astype(np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (2**64 - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def _starts(groups: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(groups, prepend=-1))
 
@@ -148,8 +140,6 @@ def _wanted_sets(table: np.ndarray):
     bits = len(table).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from orewright.functions.ragged import pack
-
         for batch in batches:
             _, groups, items = _sets_of(batch)
             h1, h2 = set_hashes(groups, items)

@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orewright.functions.mixing import slot
 from orewright.functions.ragged import pack, unique_per_group, unpack
 from orewright.session import default_parallelism, materialize, ship
 
 #: Rows that a node unites in its memory at most, on average.
 NODE_ROWS = 250_000
-#: Counters that are sent together.
-_BLOCK = 1 << 16
 SETS = "id long, items array<int>"
 SET_SCHEMA = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int32()))])
 
@@ -57,12 +56,6 @@ def _within_batch(keep: np.ndarray | None):
     return run
 
 
-def slot(items: np.ndarray, slots: int) -> np.ndarray:
-    """The place of each item in a table of ``slots`` (a power of two) hashed counters."""
-    mixed = items.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
-
-
 def read_sets(df: DataFrame, id_col: str, set_col: str, keep: np.ndarray | None = None) -> DataFrame:
     """(id, items): the non-null elements of each row as a sorted set, rows of one id within an Arrow batch united.
 
@@ -91,42 +84,6 @@ def add_counts(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np
     return distinct, np.bincount(code, counts, len(distinct)).astype(np.int64)
 
 
-def hashed_counts(sets: DataFrame, slots: int) -> np.ndarray:
-    """How many sets fall into each of ``slots`` hashed counters: never less than any item's own number.
-
-    The table has a fixed size whatever the input holds. Partitions count by themselves and send the counters they
-    touched, block by block; blocks are summed in the cluster, and only the sums come to the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
-        for batch in batches:
-            values, _ = unpack(batch.column(1))
-            total += np.bincount(slot(values, slots), minlength=slots)
-        for block in range(0, slots, _BLOCK):
-            own = total[block : block + _BLOCK]
-            held = np.flatnonzero(own)
-            if len(held):
-                columns = [pa.array([block // _BLOCK]), *(pa.array([x.tobytes()], pa.binary()) for x in (held.astype(np.uint16), own[held]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, place, n in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sums.setdefault(block, np.zeros(_BLOCK, np.int64))
-                own[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.int64)
-        for block, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([own.tobytes()], pa.binary())], names=["block", "n"])
-
-    nodes = default_parallelism(sets.sparkSession)
-    sent = sets.mapInArrow(count, "block long, place binary, n binary").repartition(nodes, "block")
-    table = np.zeros(max(slots, _BLOCK), np.int64)
-    for block, n in sent.mapInArrow(add, "block long, n binary").toLocalIterator():
-        table[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(n, np.int64)
-    return table[:slots]
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parts of each id in a partition, united."""
     ids, groups, items = merge_sets(list(batches))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from orewright.functions.ragged import pack
 from orewright.llm.characters import SPACE, classes
-from orewright.llm.near_duplicates import code_points, spread, text_slices
+from orewright.functions.texts import code_points, spread, text_slices
 from orewright.session import ship
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"

@@ -63,7 +63,9 @@ def test_many_rounds_still_filter(spark):
     rng = random.Random(4)
     once, twice = ([rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (12_000, 300))
     rows = spark.createDataFrame([(h,) for h in once + twice + twice], "hash long").repartition(3)
-    got = fd.possible_repeats(rows, 12_600, 8, fd.LEAST_BITS).collect()
+    alone = Counter(r.hash for r in fd.possible_repeats(rows, "hash long", 12_600, 8, fd.LEAST_BITS, only=True).collect())
+    assert all(alone[h] == 2 for h in twice) and len(alone) < 2_000
+    got = fd.possible_repeats(rows, "hash long", 12_600, 8, fd.LEAST_BITS).collect()
     assert len(got) == 12_600
     maybe = Counter(r.hash for r in got if r.maybe)
     assert all(maybe[h] == 2 for h in twice) and len(maybe) < 2_000

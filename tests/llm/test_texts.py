@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from orewright.functions.texts import code_points, shingle_hashes
 from orewright.llm import language, leaks, near_duplicates, tokenizer
 from tests.conftest import DATA
 
@@ -58,21 +59,31 @@ def test_near_duplicates(spark, edited):
 def test_signatures_estimate_similarity():
     texts = ["".join(random.Random(1).choices("abcdef", k=900))]
     texts.append(texts[0][:700] + "".join(random.Random(2).choices("abcdef", k=200)))
-    groups, hashes = near_duplicates.shingle_hashes(texts, 10)
+    groups, hashes = shingle_hashes(texts, 10)
     a, b = (set(hashes[groups == i].tolist()) for i in (0, 1))
     truth = len(a & b) / len(a | b)
     estimates = [np.mean(np.equal(*near_duplicates.signatures(groups, hashes, 2, seed))) for seed in range(30)]
     assert abs(np.mean(estimates) - truth) < 0.02 and np.std(estimates) < 1.3 * (truth * (1 - truth) / near_duplicates.COORDINATES) ** 0.5
+    bits = [np.unpackbits(np.bitwise_xor(*near_duplicates.sketches(near_duplicates.signatures(groups, hashes, 2, seed))).view(np.uint8)).mean() for seed in range(30)]
+    assert abs(np.mean(bits) - (1 - truth) / 2) < 0.02
 
 
 def test_shifted_permutation_is_what_is_meant():
-    groups, hashes = near_duplicates.shingle_hashes(["some text of more than ten characters"], 10)
-    table = np.random.default_rng(1).permutation(1 << near_duplicates.UNIVERSE_BITS)
-    places = (near_duplicates.mix(hashes.astype(np.int64), 13) >> np.uint64(64 - near_duplicates.UNIVERSE_BITS)).astype(np.int64)
-    want = [table[(places + c) % len(table)].min() for c in range(near_duplicates.COORDINATES)]
+    groups, hashes = shingle_hashes(["some text of more than ten characters"], 10)
+    size = 1 << near_duplicates.UNIVERSE_BITS
+    table = np.random.default_rng(1).permutation(size)
+    want = [min((int(table[((h >> (64 - near_duplicates.UNIVERSE_BITS)) + c) % size]), h) for h in hashes.tolist())[1] for c in range(near_duplicates.COORDINATES)]
     assert near_duplicates.signatures(groups, hashes, 1, 1)[0].tolist() == want
 
 
+def test_long_texts_do_not_meet_by_chance():
+    """Sets far larger than the permutation's table still have coordinates of their own."""
+    rng = np.random.default_rng(5)
+    hashes = np.concatenate([np.sort(rng.integers(0, 2**64, 3 << near_duplicates.UNIVERSE_BITS, np.uint64)) for _ in range(2)])
+    groups = np.repeat([0, 1], len(hashes) // 2)
+    assert np.equal(*near_duplicates.signatures(groups, hashes, 2, 1)).sum() == 0
+
+
 def test_no_texts(spark):
     for rows in ([], [(1, None), (2, ""), (3, "short")]):
         df = _texts(spark, rows)
@@ -169,7 +180,7 @@ def test_boundaries_for_any_text(reference, block):
     rng = random.Random(block)
     for _ in range(300):
         texts = ["".join(rng.choice("'srevltmd  \n\t\xa0Bé9½😀-_.") for _ in range(rng.randrange(1, 30))) for _ in range(4)]
-        points, lengths = near_duplicates.code_points(texts)
+        points, lengths = code_points(texts)
         found = tokenizer.boundaries(points, np.cumsum(lengths) - lengths, block).tolist()
         import regex
 

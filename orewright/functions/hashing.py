@@ -38,7 +38,8 @@ def linear_family(n: int, seed: int) -> list[tuple[int, int]]:
     return [(rng.randrange(1, 1 << 30), rng.randrange(1, 1 << 30)) for _ in range(n)]
 
 
-def sequence_hash(values: Column, buckets: int | None = None) -> Column:
-    """A 64-bit hash of an array in its order; with ``buckets`` a number in [0, buckets)."""
-    whole = F.xxhash64(F.concat_ws(",", F.transform(values, lambda x: x.cast("string"))))
+def sequence_hash(values: Column, buckets: int | None = None, method: str = "xxhash") -> Column:
+    """A hash of an array in its order, of 64 bits or (``md5``, the same in every engine) 32; with ``buckets`` a number in [0, buckets)."""
+    joined = F.concat_ws(",", F.transform(values, lambda x: x.cast("string")))
+    whole = md5_int(joined) if method == "md5" else F.xxhash64(joined)
     return F.pmod(whole, F.lit(buckets)) if buckets else whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewright.session import materialize
+from orewright.session import discard, materialize
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
@@ -18,12 +18,14 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """
     plain = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
     arcs = materialize(plain.unionByName(plain.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "arcs")
-    labels = materialize(arcs.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")), "labels")
+    written = labels = materialize(arcs.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")), "labels")
     for _ in range(rounds):
         near = arcs.join(labels.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy("x").agg(F.min("d").alias("d"))
         moved = labels.join(near, "x").select("x", "c", F.least("c", "d").alias("d"))
         jumped = moved.join(labels.select(F.col("x").alias("d"), F.col("c").alias("e")), "d", "left").select("x", "c", F.least("d", F.coalesce("e", "d")).alias("d"))
         stepped = materialize(jumped, "labels")
+        discard(written)
+        written = stepped
         labels = stepped.select("x", F.col("d").alias("c"))
         if stepped.filter("d < c").isEmpty():
             return labels.select(F.col("x").alias("vertex"), F.col("c").alias("component"))

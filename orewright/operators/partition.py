@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from orewright.operators.skew import index_rows
 from orewright.operators.triest import uniform
-from orewright.session import materialize
+from orewright.session import discard, materialize
+from orewright.sources.writers import write_report
 
 INITIAL_COLOURS = ("ROUND_ROBIN", "BATCH", "RANDOM")
 NODE_SELECTION = ("LOCAL", "RANDOM", "HYBRID")
-ANNEALING = ("LINEAR", "EXPONENTIAL")
+METRICS = "round int, edge_cut long, swaps long, migrations long, temperature double"
+ANNEALING = ("LINEAR", "LATE", "EXPONENTIAL")
 
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of a run, with defaults, checked once."""
+    """Parameters of a run, with defaults, checked once.
+
+    ``annealing``: LINEAR and LATE cool by ``delta``, LATE reaching 1 (or with ``reset`` the start) one round later; EXPONENTIAL
+    multiplies by ``decay`` (with ``reset`` it starts anew below 0.001). ``reset`` with LINEAR is an error.
+    """
 
     rounds: int = 1000
     partitions: int = 4
@@ -32,6 +38,7 @@ class Config:
     policy: str = "HYBRID"
     annealing: str = "LINEAR"
     reset: bool = False
+    decay: float = 0.99
 
     def __post_init__(self) -> None:
         for name in ("initial", "policy", "annealing"):
@@ -40,6 +47,7 @@ class Config:
             (self.rounds >= 0, "rounds"), (self.partitions >= 1, "partitions"), (self.random_sample >= 0, "random_sample"), (self.neighbour_sample >= 0, "neighbour_sample"),
             (self.temperature > 0, "temperature"), (self.delta >= 0, "delta"), (self.alpha is not None, "alpha"), (self.initial in INITIAL_COLOURS, "initial"),
             (self.policy in NODE_SELECTION, "policy"), (self.annealing in ANNEALING, "annealing"),
+            (not self.reset or self.annealing != "LINEAR", "reset"), (0 < self.decay <= 1, "decay"),
         ]
         wrong = [name for good, name in checks if not good]
         if wrong:
@@ -152,7 +160,7 @@ def score_pairs(pairs: DataFrame, coloured: DataFrame, degrees: DataFrame, alpha
 def accepted(scored: DataFrame, temperature: float, config: Config, turn: int) -> DataFrame:
     """The scored pairs that pass the acceptance rule at a temperature."""
     old, new = F.col("old"), F.col("new")
-    if config.annealing == "LINEAR":
+    if config.annealing != "EXPONENTIAL":
         return scored.filter(new * F.lit(float(temperature)) > old)
     gap = F.when((old == 0) & (new == 0), F.lit(None)).when(old == 0, F.lit(float("inf"))).when(new == 0, F.lit(float("-inf"))).otherwise(F.try_divide(F.lit(1.0), old) - F.try_divide(F.lit(1.0), new))
     chance = F.least(F.lit(1.0), F.exp(F.least(gap / F.lit(float(temperature)), F.lit(0.0))))
@@ -188,15 +196,19 @@ def one_round(arcs: DataFrame, coloured: DataFrame, total: int, config: Config,
         if config.policy in (policy, "HYBRID"):
             found = best_partner(accepted(score_pairs(pairs(), coloured, degrees, config.alpha), temperature, config, turn))
             best = found if best is None else best.unionByName(found.join(best, "p", "left_anti"))
-    return independent(materialize(best, "claims"), config.seed, turn)
+    claims = materialize(best, "claims")
+    chosen = materialize(independent(claims, config.seed, turn), "swaps")
+    discard(claims)
+    return chosen
 
 
-def jabeja(arcs: DataFrame, config: Config = Config(), vertices: DataFrame | None = None, **changes) -> tuple[DataFrame, DataFrame]:
+def jabeja(arcs: DataFrame, config: Config = Config(), vertices: DataFrame | None = None, report_to: str | None = None, **changes) -> tuple[DataFrame, DataFrame]:
     """((id, vertex, color, init_color), (round, edge_cut, swaps, migrations, temperature)) after all rounds.
 
     ``arcs`` (src, dst) has each edge in both directions. Colours are exchanged in pairs, so their numbers never change.
     ``swaps`` counts exchanges from the start; the temperature is the one after cooling. Each round writes the colours to the
-    shared folder, which cuts the lineage.
+    shared folder, which cuts the lineage, and deletes those of the round before; with ``report_to`` it appends its row of
+    the report there, so that a run that ends early leaves what it had.
     """
     config = replace(config, **changes)
     spark = arcs.sparkSession
@@ -207,16 +219,24 @@ def jabeja(arcs: DataFrame, config: Config = Config(), vertices: DataFrame | Non
     colour = initial_colour(F.col("id"), F.lit(total), config.partitions, config.initial, config.seed)
     coloured = materialize(named.select("id", "vertex", colour.alias("color"), colour.alias("init_color")), "coloured")
     start = 1.0 if config.annealing == "EXPONENTIAL" else config.temperature
-    plan = cool_exponential(config.rounds, reset=config.reset) if config.annealing == "EXPONENTIAL" else cool_linear(start, config.delta, config.rounds)
+    if config.annealing == "EXPONENTIAL":
+        plan = cool_exponential(config.rounds, config.decay, config.reset)
+    elif config.annealing == "LATE":
+        plan = cool_linear_late(start, config.delta, config.rounds, config.reset)
+    else:
+        plan = cool_linear(start, config.delta, config.rounds)
     rows, swaps, temperature = [], 0, start
     for turn in range(config.rounds):
-        pairs = materialize(one_round(arcs, coloured, total, config, temperature, turn), "swaps")
+        pairs = one_round(arcs, coloured, total, config, temperature, turn)
         swaps += pairs.count()
         both = pairs.select(F.col("p").alias("id"), F.col("q").alias("other")).unionByName(pairs.select(F.col("q").alias("id"), F.col("p").alias("other")))
         taken = both.join(coloured.select(F.col("id").alias("other"), F.col("color").alias("new_color")), "other").select("id", "new_color")
         moved = coloured.join(taken, "id", "left").select("id", "vertex", F.coalesce("new_color", "color").alias("color"), "init_color")
-        coloured = materialize(moved, "coloured")
+        before, coloured = coloured, materialize(moved, "coloured")
+        discard(before, pairs)
         temperature = plan[turn]
         cut, migrations = report(arcs, coloured).first()
         rows.append((turn, cut, swaps, migrations, temperature))
-    return coloured, spark.createDataFrame(rows, "round int, edge_cut long, swaps long, migrations long, temperature double")
+        if report_to:
+            write_report(spark.createDataFrame(rows[-1:], METRICS), report_to, "append" if turn else "overwrite")
+    return coloured, spark.createDataFrame(rows, METRICS)

@@ -67,7 +67,7 @@ def get_rules(itemsets: DataFrame, confidence: float) -> DataFrame:
     ``itemsets`` must hold all subsets of its sets. Each set of k items gives its 2^k - 2 proper subsets, whose counts
     come from one equi-join on the sorted items. Both sides may have several items; the comparison includes equality.
     """
-    big = itemsets.filter("size > 1").select("items", "freq", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)).alias("mask"))
+    big = itemsets.filter("size > 1").select("items", "freq", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size)") - 2)).alias("mask"))
     chosen = F.filter("items", lambda _, i: F.getbit(F.col("mask"), i) == 1)
     split = big.select("items", "freq", chosen.alias("antecedent"))
     joined = split.join(itemsets.select(F.col("items").alias("antecedent"), F.col("freq").alias("freq_a")), "antecedent")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orewright.operators.skew import MAX_BROADCAST_OFFSETS
+from orewright.session import materialize
+
 
 def base_name(path: Column) -> Column:
     """The last segment of a path."""
@@ -18,10 +21,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", base_name(F.col("path")).alias("doc_id"), F.replace("text", F.lit("\r\n"), F.lit(" ")).alias("text"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines with their 0-based number in the order of the file."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(rows, "line long, value string")
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(line, value): lines with their 0-based number in the order of files and lines; with ``keep`` only kept lines count.
+
+    Each block of a file is read in order, so a line's number is that of its block's first line and its place in the block.
+    Only a row for each block is brought together to number the blocks.
+    """
+    text = spark.read.text(path)
+    text = text if keep is None else text.filter(keep)
+    placed = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "line_offsets")
+    if offsets.count() <= MAX_BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    return placed.join(offsets, ["_file", "_block"]).select((F.col("_offset") + F.col("_row") - F.col("_first")).alias("line"), "value")
 
 
 def items_of(line: Column) -> Column:
@@ -65,8 +79,7 @@ def read_adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     Comment lines (``%`` or ``#``) are taken out before vertices are numbered from 1; an empty line is a vertex without
     neighbours.
     """
-    kept = spark.sparkContext.textFile(path).filter(lambda x: not x.lstrip().startswith(("%", "#"))).zipWithIndex()
-    lines = spark.createDataFrame(kept.map(lambda x: (x[1], x[0])), "id long, value string").filter("id > 0")
+    lines = numbered_lines(spark, path, ~F.col("value").rlike(r"^\s*[%#]")).withColumnRenamed("line", "id").filter("id > 0")
     near = F.filter(F.transform(F.split("value", r"\s+"), lambda x: x.try_cast("long")), lambda x: x.isNotNull())
     return lines.select("id"), lines.select(F.col("id").alias("src"), F.explode(near).alias("dst"))
 

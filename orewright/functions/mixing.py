@@ -67,5 +67,5 @@ def hashed_counts(sets: DataFrame, slots: int) -> np.ndarray:
     sent = sets.mapInArrow(count, "block long, place binary, n binary").repartition(nodes, "block")
     table = np.zeros(max(slots, _BLOCK), np.int32)
     for block, place, n in sent.mapInArrow(add, "block long, place binary, n binary").toLocalIterator():
-        table[block * _BLOCK + np.frombuffer(place, np.uint16)] = np.frombuffer(n, np.int32)
+        table[block * _BLOCK + np.frombuffer(place, np.uint16).astype(np.int64)] = np.frombuffer(n, np.int32)
     return table[:slots]

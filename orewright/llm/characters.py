@@ -20,14 +20,3 @@ def classes() -> np.ndarray:
     table = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     table[WHITE_SPACE] = SPACE
     return table
-
-
-@lru_cache(maxsize=1)
-def lower() -> np.ndarray:
-    """The lower-case form of each code point, where that is a single one."""
-    out = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x110000):
-        low = chr(c).lower()
-        if len(low) == 1:
-            out[c] = ord(low)
-    return out

@@ -131,7 +131,7 @@ def possible_repeats(df: DataFrame, schema: str, rows: int, bits_per_row: int =
         own = held if ranges == 1 else held.filter(F.col("_range") == r).drop("_range")
         hashes = own.select("hash") if expand is iter else own
         shared = df.sparkSession.sparkContext.broadcast(repeat_filter(hashes, -(-rows // ranges), bits_per_row, expand))
-        part = materialize(own.mapInArrow(_mark(shared, expand, only), schema if only else f"{schema}, maybe boolean"), "marked", None if only else ["maybe"])
+        part = materialize(own.mapInArrow(_mark(shared, expand, only), schema if only else f"{schema}, maybe boolean"), "marked")
         shared.destroy()
         out = part if out is None else out.unionByName(part)
     discard(*[held] * (ranges > 1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,8 @@ from orewright.functions.mixing import mix
 
 #: Words of a window.
 WINDOW = 13
-#: Characters of held-out text whose n-grams are broadcast at once; more text is searched for in several such blocks.
+#: Characters of held-out text whose n-grams are broadcast at once, at about 10 bytes for each in memory (a word has a hash, a
+#: place and a window). Only held-out text beyond this bound takes further blocks, with a scan of the corpus each.
 BLOCK_CHARS = 20_000_000
 
 
@@ -47,9 +47,9 @@ class Words:
         powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
         values = (points[at].astype(np.uint64) + np.uint64(1)) * powers[ranges(size)]
         self.hashes = mix(np.add.reduceat(values, np.cumsum(size) - size).astype(np.int64), 15) if len(start) else np.zeros(0, np.uint64)
-        self.text = np.searchsorted(offsets, start, side="right") - 1
+        self.text = (np.searchsorted(offsets, start, side="right") - 1).astype(np.int32)
         # empty texts share their offset with the next one; the last of equal offsets is the one that has the word
-        self.start, self.end = start - offsets[self.text] if len(start) else start, end - offsets[self.text] if len(end) else end
+        self.start, self.end = ((x - offsets[self.text] if len(x) else x).astype(np.int32) for x in (start, end))
         self.count = np.bincount(self.text, minlength=len(texts))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,37 +69,32 @@ class Words:
 
 
 class Grams:
-    """All n-grams of a block of items by their hash, for each length of window."""
+    """All n-grams of a block of items as sorted hashes with their places, for each length of window."""
 
     def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW) -> None:
-        words = Words(texts)
-        last = np.cumsum(words.count)
-        self.held: dict[int, dict[int, list[tuple[int, tuple[str, ...]]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (stop, n) in enumerate(zip(last.tolist(), words.count.tolist())):
-            size = min(n, window)
-            for first in range(stop - n, stop - size + 1) if size else ():
-                self.held[size][first].append(ids[i])
-        by_size = {}
-        for size, firsts in self.held.items():
-            number, hashes = words.windows(size)
-            grams: dict[int, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
-            for place, value in zip(number.tolist(), hashes.tolist()):
-                for item in firsts.get(place, ()):
-                    grams[value].append((item, words.words(place, size)))
-            by_size[size] = (np.sort(np.fromiter(grams, np.uint64, len(grams))), dict(grams))
-        self.held = by_size
+        self.ids, self.words = np.array(ids, np.int64), Words(texts)
+        own = np.minimum(self.words.count, window)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(own[own > 0]).tolist():
+            number, hashes = self.words.windows(size)
+            mine = own[self.words.text[number]] == size
+            number, hashes = number[mine].astype(np.int32), hashes[mine]
+            order = np.argsort(hashes, kind="stable")
+            known, first = np.unique(hashes[order], return_index=True)
+            self.held[size] = known, np.append(first, len(order)), number[order]
 
     def hits(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(position of the text, item, first character, end) of every window that is in an item, compared word by word."""
         words, out = Words(texts), []
-        for size, (known, grams) in self.held.items():
+        for size, (known, first, place) in self.held.items():
             number, hashes = words.windows(size)
-            at = np.searchsorted(known, hashes)
-            found = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == hashes)
-            for first, value in zip(number[found].tolist(), hashes[found].tolist()):
-                own = words.words(first, size)
-                span = int(words.text[first]), int(words.start[first]), int(words.end[first + size - 1])
-                out += [(span[0], item, *span[1:]) for item, gram in grams[value] if gram == own]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = np.flatnonzero(known[at] == hashes)
+            times = (first[at[found] + 1] - first[at[found]]).astype(np.int64)
+            mine, theirs = np.repeat(number[found], times), place[np.repeat(first[at[found]], times) + ranges(times)]
+            for a, b in zip(mine.tolist(), theirs.tolist()):
+                if words.words(a, size) == self.words.words(b, size):
+                    out.append((int(words.text[a]), int(self.ids[self.words.text[b]]), int(words.start[a]), int(words.end[a + size - 1])))
         return out
 
 
@@ -135,8 +130,8 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """(id, item_id, start, end): every window of words of an item in a document, with its characters.
 
     A document contains an item if ``window`` consecutive words of the item are consecutive in it, or, for a shorter
-    item, all its words are. Items without words, and null ids or texts on either side, have no part. The item texts
-    are searched for in blocks of bounded size, each of which is broadcast and takes one scan of the documents.
+    item, all its words are. Items without words, and null ids or texts on either side, have no part. The items are
+    broadcast as arrays of hashes, checked against BLOCK_CHARS; one scan of the documents finds all.
     """
     spark = documents.sparkSession
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")

@@ -26,7 +26,7 @@ from orewright.session import materialize, ship
 #: agree in them are ordered by the rest, so that texts of any length have different least shingles.
 UNIVERSE_BITS, COORDINATES, BAND_ROWS = 20, 256, 4
 #: Shingles whose coordinates are made at once.
-SLICE = 2_048
+SLICE = 512
 #: 64-bit words of a sketch, one bit for each coordinate.
 WORDS = COORDINATES // 64
 #: Standard errors by which a sketch may lie below the threshold before a pair is refused without its texts.

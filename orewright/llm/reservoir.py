@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from orewright.session import materialize, ship
 #: Columns of a state: the sampled row as a struct, which reservoir it lies in, how many rows that stands for, and the
 #: row's place in its random order. A reservoir of an empty partition has no row.
 STATE = ["row", "reservoir", "population", "place"]
+#: Reservoirs that are merged into one by a task.
+FAN = 64
 
 
 class Skips:
@@ -85,6 +87,41 @@ def reservoirs(df: DataFrame, m: int, seed: int) -> DataFrame:
     return materialize(df.select(F.struct("*").alias("row")).mapInArrow(_fill(m, seed), schema), "reservoirs")
 
 
+def _merge(m: int, seed: int):
+    """Reservoirs of one group in, one reservoir for all their rows out."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        group = key[0].as_py()
+        table = table.sort_by([("reservoir", "ascending"), ("place", "ascending")])
+        reservoir, population, place = (table.column(c).to_numpy() for c in STATE[1:])
+        first = np.flatnonzero(place == 0)
+        sizes = population[first]
+        rng = np.random.default_rng([seed, group + 1, len(first)])
+        quota = rng.multivariate_hypergeometric(sizes, min(m, int(sizes.sum())), method="marginals")
+        kept = np.flatnonzero(place < np.repeat(quota, np.diff(first, append=len(place))))
+        rows = table.column("row").take(pa.array(rng.permutation(kept)))
+        columns = [rows, *(pa.array(x) for x in (np.full(len(kept), group), np.full(len(kept), sizes.sum()), np.arange(len(kept))))]
+        return pa.Table.from_arrays(columns, names=STATE)
+
+    return run
+
+
+def merge_reservoirs(states: DataFrame, m: int, seed: int, fan: int = FAN) -> DataFrame:
+    """The same state in at most ``fan`` reservoirs: groups of ``fan`` are merged at a time, as a tree.
+
+    How many rows each reservoir gives to the merged one is a multivariate hypergeometric draw by the rows they stand for,
+    so what is left of many partitions' reservoirs before the last draw is at most ``fan`` times ``m`` rows.
+    """
+    level = 0
+    while (names := states.filter("place = 0").count()) > fan:
+        level += 1
+        order = Window.orderBy("reservoir")
+        numbers = states.filter("place = 0").select("reservoir", F.floor((F.row_number().over(order) - 1) / fan).cast("long").alias("group"))
+        grouped = states.join(F.broadcast(numbers) if names <= 1_000_000 else numbers, "reservoir")
+        states = materialize(grouped.groupBy("group").applyInArrow(_merge(m, seed + level), states.schema), "reservoirs")
+    return states
+
+
 def union_states(states: list[DataFrame]) -> DataFrame:
     """One state from the states of different pieces; the reservoirs keep apart by a running piece number."""
     out = None
@@ -113,7 +150,9 @@ def draw(states: DataFrame, m: int, seed: int) -> DataFrame:
 def sample(df: DataFrame, m: int, seed: int) -> DataFrame:
     """``m`` rows of ``df`` (all, if there are fewer), every row equally likely, in one pass over the data.
 
+    Each partition fills a reservoir, reservoirs are merged as a tree, and the sample is drawn from the last of them.
+
     Repeated rows and rows with nulls are rows like any other; all columns are kept, whatever their names. An empty
     input gives an empty sample. The result is the same for the same seed and the same partitions.
     """
-    return draw(reservoirs(df, m, seed), m, seed)
+    return draw(merge_reservoirs(reservoirs(df, m, seed), m, seed), m, seed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from orewright.functions.ragged import pack, ranges, unique_per_group, unpack
 from orewright.operators.blocks import block_pairs
 from orewright.session import materialize, ship
 
-#: Hashed token counters: 2 ** COUNTER_BITS, a fixed 32 MB at most.
-COUNTER_BITS = 22
+#: Hashed token counters: a power of two of about a quarter of all elements, within these; 64 MB at most in a worker.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 25
+#: Keys that one set may give; larger sets combine fewer tokens.
+KEY_BUDGET = 2_000
 #: A prefix token whose counter exceeds the first limit must come with a second shared token, and a second token whose
 #: counter exceeds the second limit with a third.
 LIMITS = (64, 4096)
@@ -54,39 +57,65 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (ids, h1, h2, n)], names=["id", "h1", "h2", "n"])
 
 
-def prefix_keys(groups: np.ndarray, items: np.ndarray, counts: np.ndarray, t: Fraction, limits: tuple[int, int] = LIMITS) -> tuple[np.ndarray, np.ndarray]:
+def largest_sizes(t: Fraction, budget: int = KEY_BUDGET) -> tuple[float, float]:
+    """The largest set whose combinations of three, and of two, prefix tokens stay within the budget of keys."""
+    out = []
+    for level in (3, 2):
+        prefix = level
+        while comb(prefix + 1, level) <= budget:
+            prefix += 1
+        # a set of n has a prefix of n - ceil(t n) + level tokens
+        out.append((prefix - level) / float(1 - t) if t < 1 else float("inf"))
+    return tuple(out)
+
+
+def prefix_keys(groups: np.ndarray, items: np.ndarray, counts: np.ndarray, t: Fraction, limits: tuple[int, int] = LIMITS, budget: int = KEY_BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """(position, key) of each set's join keys.
 
     Tokens are ordered by (hashed count, token). Two sets with similarity of at least t share, for every l up to their
     overlap, l tokens within the first n - ceil(t n) + l tokens of both. Let c1, c2, c3 be the first tokens they share:
     the key is c1 if it is rare, else (c1, c2) if c2 is rare enough, else (c1, c2, c3). The choice depends on the shared
-    tokens only, so both sets make it alike. Sets so small that they may share only one or two tokens with a similar set
-    give the shorter keys as well. A token with a counter of 1 is in no other set and gives no key.
+    tokens and on how many tokens may be combined, which the larger set of a pair decides by its size, so that no set gives
+    more keys than about the budget; a set gives the keys for every size that a larger partner may have. Sets so small that
+    they may share only one or two tokens with a similar set give the shorter keys as well. A token with a counter of 1 is in
+    no other set and gives no key.
     """
     order = np.lexsort((items, counts, groups))
     groups, items, counts = groups[order], items[order], counts[order]
-    starts = _starts(groups)
-    sizes = np.diff(starts, append=len(groups))
+    sizes = np.diff(_starts(groups), append=len(groups))
+    n = np.repeat(sizes, sizes)
+    three, two = largest_sizes(t, budget)
+    largest = n * t.denominator // t.numerator
+    out = []
+    for level, low, high in ((3, 0, three), (2, three, two), (1, two, float("inf"))):
+        mine = (largest > low) & (n <= high)
+        out.append(_level_keys(groups[mine], items[mine], counts[mine], t, limits, level))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]).astype(np.int64)
+
+
+def _level_keys(groups: np.ndarray, items: np.ndarray, counts: np.ndarray, t: Fraction, limits: tuple[int, int], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets in order that combine at most ``level`` tokens."""
+    sizes = np.diff(_starts(groups), append=len(groups))
     place = ranges(sizes)
     n = np.repeat(sizes, sizes)
     need = -(-n * t.numerator // t.denominator)
     possible = (n * (t.denominator - t.numerator) >= t.numerator) & (counts > 1)
     one = np.flatnonzero(possible & (place <= n - need))
-    rare = counts[one] <= limits[0]
+    rare = (counts[one] <= limits[0]) | (level < 2)
     alone = one[rare | (need[one] < 2)]
     out = [(groups[alone], mix(items[alone], 3))]
     first = one[~rare]
     later = np.minimum(n - need + 2, n)[first] - place[first] - 1
     i, j = np.repeat(first, later), np.repeat(first + 1, later) + ranges(later)
     two = mix((mix(items[i], 4) + mix(items[j], 5)).astype(np.int64), 6)
-    rare = counts[j] <= limits[1]
+    rare = (counts[j] <= limits[1]) | (level < 3)
     enough = rare | (need[i] < 3)
     out.append((groups[i[enough]], two[enough]))
     j, two = j[~rare], two[~rare]
     later = np.minimum(n - need + 3, n)[j] - place[j] - 1
     k = np.repeat(j + 1, later) + ranges(later)
     out.append((groups[k], mix((np.repeat(two, later) + mix(items[k], 7)).astype(np.int64), 8)))
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]).astype(np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def bitmaps(groups: np.ndarray, items: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -100,20 +129,22 @@ def bitmaps(groups: np.ndarray, items: np.ndarray, words: int = WORDS) -> list[n
     return out
 
 
-def _keys(table: np.ndarray, t: Fraction, limits: tuple[int, int]):
+def _keys(shared, t: Fraction, limits: tuple[int, int], budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, groups, items = _sets_of(batch)
-            h = np.stack(set_hashes(groups, items), axis=1)
-            distinct = np.zeros(len(h), bool)
-            distinct[np.unique(h, axis=0, return_index=True)[1]] = True
-            groups, items = groups[distinct[groups]], items[distinct[groups]]
-            at, key = prefix_keys(groups, items, table[slot(items, len(table))], t, limits)
-            n = np.bincount(groups, minlength=len(h)).astype(np.int32)
-            words = bitmaps(groups, items)
-            place = np.cumsum(distinct) - 1
-            columns = [key, h[at, 0], h[at, 1], n[at], *[w[place[at]] for w in words]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h1", "h2", "n", *[f"w{i}" for i in range(WORDS)]])
+        table = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                _, groups, items = _sets_of(whole.slice(at, 1_000))
+                h = np.stack(set_hashes(groups, items), axis=1)
+                distinct = np.zeros(len(h), bool)
+                distinct[np.unique(h, axis=0, return_index=True)[1]] = True
+                groups, items = groups[distinct[groups]], items[distinct[groups]]
+                own, key = prefix_keys(groups, items, table[slot(items, len(table))].astype(np.int64), t, limits, budget)
+                n = np.bincount(groups, minlength=len(h)).astype(np.int32)
+                words = bitmaps(groups, items)
+                place = np.cumsum(distinct) - 1
+                columns = [key, h[own, 0], h[own, 1], n[own], *[w[place[own]] for w in words]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h1", "h2", "n", *[f"w{i}" for i in range(WORDS)]])
 
     return run
 
@@ -135,11 +166,12 @@ def _verify(t: Fraction):
     return run
 
 
-def _wanted_sets(table: np.ndarray):
+def _wanted_sets(shared):
     """(h1, h2, items) of the sets whose content hash is marked in a bitmap."""
-    bits = len(table).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        bits = len(table).bit_length() - 1
         for batch in batches:
             _, groups, items = _sets_of(batch)
             h1, h2 = set_hashes(groups, items)
@@ -165,7 +197,7 @@ def mark_table(hashes: DataFrame, bits: int = 23) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
-def similar_sets(df: DataFrame, id_col: str, set_col: str, threshold: str = "0.8", limits: tuple[int, int] = LIMITS) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, id_col: str, set_col: str, threshold: str = "0.8", limits: tuple[int, int] = LIMITS, budget: int = KEY_BUDGET) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, h1, h2, n) of each distinct (id, set), and (a1, a2, b1, b2, similarity) of different sets.
 
     ``links`` has every pair of different sets, by content hash, with a Jaccard similarity of at least ``threshold``,
@@ -177,10 +209,13 @@ def similar_sets(df: DataFrame, id_col: str, set_col: str, threshold: str = "0.8
     t = Fraction(threshold)
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(set_col).cast("array<int>").alias("items")).filter("id is not null and size(items) > 0")
     members = materialize(plain.mapInArrow(_describe, MEMBERS).groupBy("id", "h1", "h2").agg(F.first("n").alias("n")), "members")
-    table = hashed_counts(plain, 1 << COUNTER_BITS)
-    table = np.minimum(table, 2**31 - 1).astype(np.int32)
-    keys = plain.mapInArrow(_keys(table, t, limits), KEYS)
+    elements = plain.agg(F.sum(F.size("items"))).first()[0] or 0
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (elements // 4).bit_length()))
+    context = df.sparkSession.sparkContext
+    table = context.broadcast(np.minimum(hashed_counts(plain, counters), 2**16 - 1).astype(np.uint16))
+    keys = plain.mapInArrow(_keys(table, t, limits, budget), KEYS)
     keys = materialize(keys.groupBy("key", "h1", "h2").agg(F.first("n").alias("n"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), "keys")
+    table.destroy()
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     need = F.ceil(F.lit(t.numerator) * (F.col("a.n") + F.col("b.n")) / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
     only_a = sum((F.bit_count(F.col(f"a.w{i}").bitwiseAND(F.bitwise_not(F.col(f"b.w{i}")))) for i in range(WORDS)), F.lit(0))
@@ -191,8 +226,10 @@ def similar_sets(df: DataFrame, id_col: str, set_col: str, threshold: str = "0.8
     pairs = pairs.select(F.col("x.h1").alias("a1"), F.col("x.h2").alias("a2"), F.col("y.h1").alias("b1"), F.col("y.h2").alias("b2")).distinct()
     pairs = materialize(pairs, "candidates")
     ends = pairs.select(F.col("a1").alias("h1")).unionByName(pairs.select(F.col("b1").alias("h1")))
-    wanted = plain.mapInArrow(_wanted_sets(mark_table(ends)), "h1 long, h2 long, items array<int>").dropDuplicates(["h1", "h2"])
+    marks = context.broadcast(mark_table(ends))
+    wanted = plain.mapInArrow(_wanted_sets(marks), "h1 long, h2 long, items array<int>").dropDuplicates(["h1", "h2"])
     wanted = materialize(wanted, "candidate_sets")
+    marks.destroy()
     joined = pairs.join(wanted.toDF("a1", "a2", "items_a"), ["a1", "a2"]).join(wanted.toDF("b1", "b2", "items_b"), ["b1", "b2"])
     links = joined.mapInArrow(_verify(t), "a1 long, a2 long, b1 long, b2 long, similarity double")
     return members, materialize(links, "links")

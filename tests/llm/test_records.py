@@ -98,6 +98,19 @@ def test_sample_is_uniform(spark):
     assert chi < 39 + 4 * (2 * 39) ** 0.5
 
 
+@pytest.mark.parametrize("n", [3, 40])
+def test_merged_reservoirs_are_uniform(spark, n):
+    df, counts = spark.range(0, n, 1, 9), Counter()
+    for seed in range(60):
+        states = reservoir.merge_reservoirs(reservoir.reservoirs(df, 10, seed), 10, seed, fan=3)
+        if seed == 0:
+            assert states.select("reservoir").distinct().count() <= 3 and states.groupBy("reservoir").count().filter("count > 10").isEmpty()
+        counts.update(r.id for r in reservoir.draw(states, 10, seed).collect())
+    assert sum(counts.values()) == 60 * min(n, 10)
+    expected = 60 * min(n, 10) / n
+    assert sum((counts[i] - expected) ** 2 / expected for i in range(n)) < n - 1 + 4 * (2 * (n - 1)) ** 0.5
+
+
 def test_skips_are_uniform():
     rng = np.random.default_rng(3)
     counts = np.zeros(50)

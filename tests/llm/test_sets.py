@@ -151,3 +151,29 @@ def test_nothing(spark, rows):
 def test_many_equal_sets(spark):
     rows = [(i, [1, 2, 3, 4, 5]) for i in range(120)] + [(500, [1, 2, 3, 4, 5, 6])]
     assert set_join.similar_id_pairs(_frame(spark, rows), "b", "s").count() == 120 * 119 // 2 + 120
+
+
+def _pairs_by_force(sets, t):
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and len(a & b) >= t * len(a | b)}
+
+
+@pytest.mark.parametrize("budget", [20, 2_000])
+def test_key_budget_loses_no_pair(spark, budget):
+    """Sets on both sides of the sizes from which fewer tokens are combined."""
+    rng = random.Random(budget)
+    sets = []
+    for n in (4, 9, 20, 40, 90, 100, 110, 290, 310, 330):
+        base = rng.sample(range(400), n)
+        for k in range(4):
+            sets.append(set(rng.sample(base, n - k * n // 12)) | set(rng.sample(range(400), k * n // 20)))
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "id long, s array<int>").repartition(3)
+    members, links = set_join.similar_sets(df, "id", "s", "0.8", (1, 2), budget)
+    found = {tuple(r) for r in set_join.equal_pairs(members).unionByName(set_join.linked_pairs(members, links)).collect()}
+    assert found == _pairs_by_force(sets, 0.8) and len(found) > 10
+
+
+def test_keys_of_large_sets_are_few():
+    for n in (50, 100, 101, 300, 306, 800, 5_000):
+        items, counts = np.arange(n), np.full(n, 10_000)
+        at, keys = set_join.prefix_keys(np.zeros(n, np.int64), items, counts, Fraction(4, 5))
+        assert 0 < len(keys) <= 2 * set_join.KEY_BUDGET + n

@@ -21,6 +21,7 @@ def _parser() -> argparse.ArgumentParser:
         command = sub.add_parser(name)
         for flag, default, text in options:
             command.add_argument(f"-{flag}", f"--{flag}", dest=flag, type=type(default), default=default, help=f"{text} (default {default})")
+        command.add_argument("-shared", "--shared", default="", help="folder that all executors share, for intermediate tables; needed on a cluster")
         command.add_argument("-out", "--out", default="", help="folder for the result; printed if not given")
 
     add("similarity", ("input", "data", "folder of text files"), ("k", 10, "length of shingles"), ("threshold", 0.8, "similarity for banding"), ("hashes", 150, "length of signatures"), ("seed", 1, "seed of the hashes"))
@@ -31,7 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     add(
         "partition", ("graph", "graph.txt", "adjacency file"), ("rounds", 1000, "rounds"), ("numPartitions", 4, "parts"), ("uniformRandSampleSize", 6, "random candidates"),
         ("randNeighborsSampleSize", 3, "neighbour candidates"), ("temp", 2.0, "start temperature"), ("delta", 0.001, "cooling"), ("seed", 0, "seed"), ("alpha", 2.0, "exponent"),
-        ("graphInitColorSelectionPolicy", "ROUND_ROBIN", "ROUND_ROBIN, BATCH or RANDOM"), ("nodeSelectionPolicy", "HYBRID", "LOCAL, RANDOM or HYBRID"), ("annealing", "LINEAR", "LINEAR or EXPONENTIAL"),
+        ("graphInitColorSelectionPolicy", "ROUND_ROBIN", "ROUND_ROBIN, BATCH or RANDOM"), ("nodeSelectionPolicy", "HYBRID", "LOCAL, RANDOM or HYBRID"), ("annealing", "LINEAR", "LINEAR, LATE or EXPONENTIAL"),
     )
     return parser
 
@@ -68,9 +69,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
 
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
-    for name, df in run(get_session(app=f"orewright {args.command}"), args).items():
+    for name, df in run(get_session(app=f"orewright {args.command}", shared=args.shared or None), args).items():
         if args.out and name == "rounds":
-            writers.write_report(df, f"{args.out}/{name}", **{k: v for k, v in vars(args).items() if k not in ("command", "out")})
+            writers.write_report(df, f"{args.out}/{name}", **{k: v for k, v in vars(args).items() if k not in ("command", "out", "shared")})
         elif args.out:
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
         else:

@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[str] = []
 
 
-def get_session(master: str = "local[*]", app: str = "orewright", shared: str | None = None, **conf: str) -> SparkSession:
-    """A session with this engine's defaults; ``shared`` is the folder all executors share, ``conf`` keys use ``__`` for dots."""
+def get_session(master: str | None = None, app: str = "orewright", shared: str | None = None, **conf: str) -> SparkSession:
+    """A session with this engine's defaults; ``shared`` is the folder all executors share, ``conf`` keys use ``__`` for dots.
+
+    Without ``master`` the one that the application was submitted with is kept, else all local cores are used.
+    """
     builder = (
-        SparkSession.builder.master(master)
+        SparkSession.builder.master(master or SparkConf().get("spark.master", "local[*]"))
         .appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from orewright.operators import patterns
@@ -38,6 +39,21 @@ def test_itemsets(baskets, method, support):
     assert {tuple(r["items"]): r["freq"] for r in found.collect()} == _brute(held, support * len(held))
 
 
+def test_candidates_in_several_passes(baskets, monkeypatch):
+    df, _ = baskets
+    monkeypatch.setattr(patterns, "STATES", 5)
+    long = patterns.distinct_baskets(df, "basket_id", "items")
+    few, all_ = (patterns.find_frequent_items(long, 0.05, most=most) for most in (3, 1_000_000))
+    assert sorted((tuple(r["items"]), r["freq"]) for r in few.collect()) == sorted((tuple(r["items"]), r["freq"]) for r in all_.collect())
+
+
+def test_later_places_in_slices(monkeypatch):
+    monkeypatch.setattr(patterns, "STATES", 4)
+    ends = np.array([4, 4, 4, 4, 7, 7, 7])
+    got = [(i, p) for index, place in patterns._later(ends, np.array([0, 2, 3, 4, 6])) for i, p in zip(index.tolist(), place.tolist())]
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 3), (3, 5), (3, 6)]
+
+
 def test_rules(spark):
     rows = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 2, 3]), (3, [1, 2]), (4, [3])], "basket_id int, items array<int>")
     itemsets = patterns.find_frequent_items(patterns.distinct_baskets(rows, "basket_id", "items"), 0.5)

@@ -17,7 +17,7 @@ from orewright.operators.blocks import block_pairs
 from orewright.session import materialize, ship
 
 #: Hashed token counters: a power of two of about a quarter of all elements, within these; 64 MB at most in a worker.
-LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 25
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 22, 1 << 25
 #: Keys that one set may give; larger sets combine fewer tokens.
 KEY_BUDGET = 2_000
 #: A prefix token whose counter exceeds the first limit must come with a second shared token, and a second token whose

@@ -24,9 +24,9 @@ from orewright.session import materialize, ship
 
 #: Leading bits of a shingle's hash that the second permutation (a table that every worker holds) orders; shingles that
 #: agree in them are ordered by the rest, so that texts of any length have different least shingles.
-UNIVERSE_BITS, COORDINATES, BAND_ROWS = 20, 256, 4
+UNIVERSE_BITS, COORDINATES, BAND_ROWS = 16, 256, 4
 #: Shingles whose coordinates are made at once.
-SLICE = 512
+SLICE = 2_048
 #: 64-bit words of a sketch, one bit for each coordinate.
 WORDS = COORDINATES // 64
 #: Standard errors by which a sketch may lie below the threshold before a pair is refused without its texts.
@@ -40,7 +40,7 @@ BANDS = f"hash long, row long, n int, {SKETCH}"
 @lru_cache(maxsize=1)
 def _permutation(seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The second permutation's inverse, and windows of it: row s has it at s, s+1, ..., a shifted copy in each column."""
-    shuffled = np.random.default_rng(seed).permutation(1 << UNIVERSE_BITS).astype(np.int32)
+    shuffled = np.random.default_rng(seed).permutation(1 << UNIVERSE_BITS).astype(np.uint16)
     inverse = np.empty(len(shuffled), np.int64)
     inverse[shuffled] = np.arange(len(shuffled))
     return inverse, np.lib.stride_tricks.sliding_window_view(np.concatenate((shuffled, shuffled[:COORDINATES])), COORDINATES)
@@ -55,7 +55,7 @@ def signatures(groups: np.ndarray, hashes: np.ndarray, n: int, seed: int) -> np.
     inverse, windows = _permutation(seed)
     places = (hashes >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
     ends = np.searchsorted(groups, np.arange(n + 1))
-    least = np.empty((n, COORDINATES), np.int32)
+    least = np.empty((n, COORDINATES), np.uint16)
     for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         parts = [windows[places[at : min(at + SLICE, b)]].min(axis=0) for at in range(a, b, SLICE)]
         least[i] = parts[0] if len(parts) == 1 else np.minimum.reduce(parts)

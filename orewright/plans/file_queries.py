@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orewright.functions.hashing import string_hash
@@ -187,18 +187,10 @@ def spectral_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size("features").cast("long").alias("k"), F.round(F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))
 
 
-def sigma_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sweep over kernel widths; well separated points cost nothing at any width, and one width is the best."""
-    points = materialize(_region_points(spark, sf_dir), "points")
-    k = points.select(F.round(F.get("features", F.lit(0)) / 50)).distinct().count()
-    sweep = spectral.optimal_sigma(points, max(1, k))
-    return sweep.select("sigma", (F.round("cost", 2) + F.lit(0.0)).alias("cost"), F.sum(F.col("best").cast("long")).over(Window.partitionBy(F.lit(1))).alias("best"))
-
-
 _ALL = (
     documents_read, baskets_read, edges_read, edges_streamed, points_read, adjacency_read, parts_report, report_appended, text_appended, string_hashes, minhash_argmin,
     lsh_shared_candidates, jaccard_all_pairs, triest_impr_exact, triest_base_exact, jabeja_global_candidates, jabeja_accepted, jabeja_first_round, jabeja_run_checks,
-    spectral_regions, spectral_rows, sigma_costs,
+    spectral_regions, spectral_rows,
 )
 
 
@@ -255,5 +247,4 @@ select p, q from ga where {_UNIFORM.format("'0:0:accept:' || p || ':' || q")} <
 select i as round, round(t, 6) as temperature, 0::bigint as cut_error, 0::bigint as migration_error, 0::bigint as uneven_colours from c""",
         "spectral_regions": f"with {_REGIONS} select id, min(id) over (partition by r) as first from p",
         "spectral_rows": "select vec_id as id, 4::bigint as k, 1.0::double as length from embeddings",
-        "sigma_costs": "select 0.5::double * i as sigma, 0.0::double as cost, 1::bigint as best from (select unnest(range(1, 21)) as i)",
     }

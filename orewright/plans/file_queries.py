@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +12,31 @@ from orewright.functions.hashing import string_hash
 from orewright.operators import partition, similarity, spectral
 from orewright.plans import mining_queries as mining
 from orewright.plans.mining_queries import COLOURS, HASHES, THRESHOLD, WINDOW, table
-from orewright.session import discard, materialize, new_folder
+from orewright.session import discard, drop_folder, materialize, new_folder
 from orewright.sources import readers, writers
 from orewright.streaming import triest_stream
 
+#: Files that are written and read at once, about.
+FILES = 100_000
 #: Buckets into which bands are folded where all bands share them.
 BUCKETS = 10_000
 
 
 def documents_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text file for each row, read back whole."""
-    path = new_folder(spark, "document_files")
+    """One text file for each row, read back whole; at most about FILES files are there at once, those read are deleted."""
     files = table(spark, sf_dir, "doc_files").filter("content is not null").select("file_id", "content")
-    files.repartition("file_id").write.partitionBy("file_id").text(path)
-    read = readers.read_documents(spark, f"{path}/*")
-    return read.select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), F.length("text").cast("long").alias("length"), F.md5("text").alias("hash"))
+    rounds = max(1, -(-files.count() // FILES))
+    found = []
+    for turn in range(rounds):
+        path = new_folder(spark, "document_files")
+        own = files.filter(F.pmod(F.xxhash64("file_id", "content"), F.lit(rounds)) == turn)
+        folders = writers.write_documents(own, "file_id", "content", path)
+        if folders:
+            read = readers.read_documents(spark, folders)
+            key = F.regexp_extract("path", r"file_id=(-?\d+)", 1).try_cast("long").alias("file_id")
+            found.append(materialize(read.select(key, F.length("text").cast("long").alias("length"), F.md5("text").alias("hash")), "documents"))
+        drop_folder(spark, path)
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "file_id long, length long, hash string")
 
 
 def baskets_read(spark: SparkSession, sf_dir: str) -> DataFrame:

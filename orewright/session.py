@@ -123,6 +123,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder made by ``new_folder`` that nothing reads any more."""
+    if path in _written:
+        _delete(spark, path)
+        _written.remove(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -10,14 +10,21 @@ from orewright.operators.skew import MAX_BROADCAST_OFFSETS
 from orewright.session import materialize
 
 
+#: Tasks for each core that read documents at most.
+READ_TASKS = 16
+
+
 def base_name(path: Column) -> Column:
     """The last segment of a path."""
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, doc_id, text): one row for each file, ``doc_id`` its last path segment; the full path stays the key."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, doc_id, text): one row for each file, ``doc_id`` its last path segment; the full path stays the key.
+
+    Spark plans a task for each few files however small they are; READ_TASKS tasks for a core at most read them one after another.
+    """
+    files = spark.read.text(path, wholetext=True).coalesce(READ_TASKS * spark.sparkContext.defaultParallelism).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.select("path", base_name(F.col("path")).alias("doc_id"), F.replace("text", F.lit("\r\n"), F.lit(" ")).alias("text"))
 
 

@@ -1,6 +1,10 @@
+import hashlib
+import os
+
 from pyspark.sql import functions as F
 
 from orewright.operators import partition
+from orewright.plans import file_queries
 from orewright.sources import readers, writers
 
 
@@ -17,6 +21,28 @@ def test_documents(spark, tmp_path):
     assert got["a.txt"] == "one two\nthree"
 
 
+def test_documents_written_and_read(spark, tmp_path, monkeypatch):
+    """A file for each row, of repeated and missing ids too, without a folder for each; read in rounds by few tasks."""
+    rows = [(i % 90 if i else None, f"text {i}\r\nend") for i in range(100)] + [(-7, "")]
+    spark.createDataFrame(rows, "file_id long, content string").write.parquet(f"{tmp_path}/doc_files.parquet")
+    made = []
+    monkeypatch.setattr(file_queries, "FILES", 40)
+    written = file_queries.writers.write_documents
+
+    def spied(df, *more):
+        made.append(written(df, *more))
+        files = [f for folder in made[-1] for f in os.listdir(folder.removeprefix("file://"))]
+        assert len(files) == df.count() and not any(f.endswith(".crc") for f in files)
+        return made[-1]
+
+    monkeypatch.setattr(file_queries.writers, "write_documents", spied)
+    monkeypatch.setattr(readers, "READ_TASKS", 1)
+    got = sorted((r.file_id or 0, r.length, r.hash) for r in file_queries.documents_read(spark, str(tmp_path)).collect())
+    whole = [(i or 0, t.replace("\r\n", " ") + "\n") for i, t in rows]
+    assert got == sorted((i, len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in whole)
+    assert len(made) == 3 and not any(os.path.exists(f.removeprefix("file://")) for folders in made for f in folders)
+
+
 def test_baskets(spark, tmp_path):
     path = _write(tmp_path / "b.dat", "1 2  3 2\n\n7\nx 5\n")
     assert [r["items"] for r in readers.read_baskets(spark, path).orderBy("basket_id").collect()] == [[1, 2, 3], [7], [5]]

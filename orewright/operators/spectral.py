@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orewright.session import materialize
@@ -15,6 +15,8 @@ from orewright.session import materialize
 BLOCK = 512
 #: Points up to which the eigenvectors are computed by the driver on a dense matrix (at most 32 MB).
 LOCAL_POINTS = 2048
+#: Entries of the affinity that a task holds at once; rows of a task; vectors beyond the wanted ones, blocks of vectors kept and products taken at most.
+ENTRIES, ROWS, SPARE, KEPT, PRODUCTS = 1_000_000, 2_048, 4, 8, 60
 
 
 def distances(points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -95,10 +97,74 @@ def embed(weights: DataFrame, k: int) -> tuple[DataFrame, list[int]]:
     k = min(k, len(ids))
     if not ids:
         return spark.createDataFrame([], "id long, features array<double>"), ids
-    vectors = leading_vectors(laplacian(weights), ids, k)
+    return _unit_rows(spark, ids, leading_vectors(laplacian(weights), ids, k)), ids
+
+
+def _unit_rows(spark: SparkSession, ids: list[int], vectors: np.ndarray) -> DataFrame:
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 1e-12)
-    return spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, unit)], "id long, features array<double>"), ids
+    return spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, unit)], "id long, features array<double>")
+
+
+def _affinity_products(spark: SparkSession, x: np.ndarray, sigma: float):
+    """A function of (vectors, one row for each point) to the affinity of the points ``x`` times them, computed in the cluster.
+
+    The affinity itself is never stored: a task computes some of its rows at a time from the points and multiplies them.
+    """
+    points = spark.sparkContext.broadcast(x)
+    entries, rows = ENTRIES, ROWS
+
+    def product(vectors: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(vectors)
+
+        def run(start: int) -> np.ndarray:
+            x, q = points.value, shared.value
+            out, step = [], max(1, entries // len(x))
+            for at in range(start, min(start + rows, len(x)), step):
+                own = x[at : min(at + step, start + rows)]
+                d2 = np.zeros((len(own), len(x)))
+                for c in range(x.shape[1]):
+                    d2 += (own[:, c, None] - x[None, :, c]) ** 2
+                w = np.exp(d2 / (-2.0 * sigma * sigma))
+                w[np.arange(len(own)), np.arange(at, at + len(own))] = 0
+                out.append(w @ q)
+            return np.concatenate(out)
+
+        starts = list(range(0, len(x), rows))
+        made = spark.sparkContext.parallelize(starts, len(starts)).map(run).collect()
+        shared.destroy()
+        return np.concatenate(made)
+
+    return product, points
+
+
+def point_vectors(spark: SparkSession, x: np.ndarray, k: int, sigma: float, seed: int = 1) -> np.ndarray:
+    """The ``k`` leading vectors of the Laplacian of the points ``x``, by block Lanczos steps on products computed in the cluster."""
+    product, points = _affinity_products(spark, x, sigma)
+    degree = product(np.ones((len(x), 1)))[:, 0]
+    scale = np.divide(1.0, np.sqrt(degree), out=np.zeros_like(degree), where=degree > 0)[:, None]
+    width = min(len(x), k + SPARE)
+    fresh = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(x), width)))[0]
+    basis = image = np.zeros((len(x), 0))
+    for _ in range(PRODUCTS):
+        basis, image = np.hstack([basis, fresh]), np.hstack([image, scale * product(scale * fresh)])
+        inner = basis.T @ image
+        values, turned = np.linalg.eigh((inner + inner.T) / 2)
+        values, turned = values[::-1][:width], turned[:, ::-1][:, :width]
+        found, moved = basis @ turned, image @ turned
+        rest = moved - found * values
+        if np.linalg.norm(rest[:, :k], axis=0).max() <= 1e-8:
+            break
+        if basis.shape[1] >= KEPT * width:
+            basis, image = found, moved
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        u, size, _ = np.linalg.svd(rest, full_matrices=False)
+        fresh = u[:, size > 1e-12]
+        if not fresh.shape[1] or basis.shape[1] + fresh.shape[1] > len(x):
+            break
+    points.destroy()
+    return found[:, :k]
 
 
 def _k_means(embedded: DataFrame, k: int, seed: int) -> tuple[DataFrame, float]:
@@ -111,7 +177,16 @@ def _k_means(embedded: DataFrame, k: int, seed: int) -> tuple[DataFrame, float]:
 
 
 def spectral_cluster(points: DataFrame, k: int = 4, sigma: float = 1.5, seed: int = 1) -> DataFrame:
-    """(id, cluster): clusters 0 .. k-1 of the points of (id, features)."""
+    """(id, cluster): clusters 0 .. k-1 of the points of (id, features).
+
+    Beyond LOCAL_POINTS points the affinity is not stored: points and vectors (n x k numbers) come to the driver, its products
+    with vectors are computed in the cluster.
+    """
+    plain = points.filter("id is not null and features is not null").select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+    if plain.count() > max(1, LOCAL_POINTS):
+        rows = plain.orderBy("id").toArrow()
+        ids, x = rows.column("id").to_pylist(), rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        return _k_means(_unit_rows(points.sparkSession, ids, point_vectors(points.sparkSession, x, min(k, len(ids)), sigma, seed)), k, seed)[0]
     embedded, _ = embed(materialize(affinity(distances(points), sigma), "affinity"), k)
     return embedded.select("id", F.lit(0).alias("cluster")) if embedded.isEmpty() else _k_means(embedded, k, seed)[0]
 

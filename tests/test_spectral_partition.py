@@ -38,6 +38,25 @@ def test_clusters(blobs, local, monkeypatch):
     assert groups == {frozenset(range(s, 60, 3)) for s in range(3)}
 
 
+@pytest.mark.parametrize("rows,kept", [(2048, 8), (37, 2)])
+def test_vectors_without_stored_affinity(spark, monkeypatch, rows, kept):
+    """Leading vectors of overlapping points as a dense solver gives them, and no affinity is written for many points."""
+    monkeypatch.setattr(spectral, "ROWS", rows)
+    monkeypatch.setattr(spectral, "KEPT", kept)
+    x = np.random.default_rng(4).normal(0, 2.5, (150, 3))
+    x[0] = 1e6  # a point far from all others
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 1.5**2))
+    np.fill_diagonal(w, 0)
+    root = np.sqrt(np.outer(w.sum(0), w.sum(0)))
+    values, vectors = np.linalg.eigh(np.divide(w, root, out=np.zeros_like(w), where=root > 0))
+    found = spectral.point_vectors(spark, x, 4, 1.5)
+    assert np.allclose(np.abs((found * vectors[:, ::-1][:, :4]).sum(0)), 1, atol=1e-6)
+    monkeypatch.setattr(spectral, "LOCAL_POINTS", 50)
+    monkeypatch.setattr(spectral, "affinity", None)
+    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, features array<double>")
+    assert spectral.spectral_cluster(points, 2).count() == 150
+
+
 def test_sigma(blobs, spark):
     df, _ = blobs
     got = spectral.optimal_sigma(df, k=3, sigmas=[0.5, 1.0, 6.0]).collect()
